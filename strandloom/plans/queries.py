@@ -5,28 +5,389 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.operators import tree
-from strandloom.sources import structural
+from strandloom.functions import dna
+from strandloom.operators import consensus, edges, overlap, paths, reads, tree
+from strandloom.session import scratch_path
+from strandloom.sources import fastq, nodemsg, structural
 
 Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _ALL[f.__name__] = f
+    return f
 
 
 def read(spark: SparkSession, at: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{table}.parquet")
 
 
+def _nodes(spark, at) -> DataFrame:
+    return reads.usable_nodes(read(spark, at, "nodes"))
+
+
+def _mates(spark, at) -> DataFrame:
+    """All mates of ``read_pairs``, in upper case."""
+    t = read(spark, at, "read_pairs")
+    both = F.explode(F.array(F.struct(F.lit("f").alias("mate"), F.upper("seq_f").alias("s")), F.struct(F.lit("r").alias("mate"), F.upper("seq_r").alias("s"))))
+    return t.select("read_no", both.alias("x")).select("read_no", "x.*").where("s is not null")
+
+
+def _edges(spark, at) -> DataFrame:
+    """Distinct links with two ends."""
+    e = read(spark, at, "edges").where("src is not null and dst is not null")
+    return e.select(*edges.EDGE).distinct()
+
+
+def _read_f(spark, at) -> DataFrame:
+    return read(spark, at, "nodes").groupBy("id").agg(F.min("read_f").alias("read_f"), F.min("cov").alias("cov"))
+
+
+def _linked_reads(spark, at) -> DataFrame:
+    """Each plain edge with the mate 1 and the coverage of the node that it leads to."""
+    far = _read_f(spark, at).where("read_f is not null").select(F.col("id").alias("dst"), "read_f", F.coalesce("cov", F.lit(1.0)).alias("cov"))
+    return _edges(spark, at).where(F.col("edge_type").isin("ff", "fr", "rf", "rr")).join(far, "dst")
+
+
+def _black(spark, at) -> DataFrame:
+    """Black edges: the plain edges of an overlap below 30."""
+    e = _linked_reads(spark, at).where("overlap < 30")
+    return e.select(F.col("src").alias("id"), F.col("edge_type").alias("con"), F.col("dst").alias("node_id"), F.col("read_f").alias("seq"), F.col("overlap").alias("oval_size"), "cov")
+
+
+def _gray(spark, at) -> DataFrame:
+    e = _edges(spark, at).where("overlap between 30 and 40")
+    return e.select(F.col("src").alias("id"), F.col("edge_type").alias("con"), F.col("dst").alias("node_id"))
+
+
+def _ids(spark, at) -> DataFrame:
+    return read(spark, at, "nodes").where("id is not null").select("id").distinct()
+
+
+# raw deliveries
+
+
+@query
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     return structural.rejected(read(spark, at, "raw_blocks"))
 
 
+@query
 def p2_loaded(spark: SparkSession, at: str) -> DataFrame:
     return structural.loaded(read(spark, at, "raw_blocks"))
 
 
+@query
+def prep_reads(spark: SparkSession, at: str) -> DataFrame:
+    return reads.prepare_reads(read(spark, at, "raw_blocks"))
+
+
+@query
+def prep_rejects(spark: SparkSession, at: str) -> DataFrame:
+    return reads.judged(read(spark, at, "raw_blocks"), keep=("block_no",)).where("verdict != 'reads_good'").select("block_no", "verdict")
+
+
+@query
+def prep_metrics(spark: SparkSession, at: str) -> DataFrame:
+    return reads.read_metrics(read(spark, at, "raw_blocks"))
+
+
+@query
+def normalize_ids(spark: SparkSession, at: str) -> DataFrame:
+    first = F.get(reads.split_block(F.coalesce("fields_txt", F.lit(""))), F.lit(0))
+    return read(spark, at, "raw_blocks").select("block_no", dna.clean_id(first).alias("id"))
+
+
+@query
+def fastq_scan(spark: SparkSession, at: str) -> DataFrame:
+    """The loaded pairs, written as FASTQ and read again through the source, in many splits."""
+    pairs = structural.loaded(read(spark, at, "raw_blocks")).withColumnRenamed("name", "id").drop("block_no")
+    path = scratch_path(spark, "fastq")
+    fastq.write_fastq(pairs, path)
+    return fastq.read_fastq(spark, path, splitSize=1 << 20)
+
+
+# scalar functions over reads
+
+
+@query
+def revcomp(spark: SparkSession, at: str) -> DataFrame:
+    return _mates(spark, at).select("read_no", "mate", dna.revcomp("s").alias("rc"))
+
+
+@query
+def trim_n(spark: SparkSession, at: str) -> DataFrame:
+    return _mates(spark, at).select("read_no", "mate", dna.trim_n("s").alias("trimmed"))
+
+
+@query
+def trim_n_clean(spark: SparkSession, at: str) -> DataFrame:
+    return _mates(spark, at).select("read_no", "mate", dna.trim_n("s", "clean").alias("trimmed"))
+
+
+@query
+def encode_dna(spark: SparkSession, at: str) -> DataFrame:
+    return _mates(spark, at).select("read_no", "mate", dna.encode_dna("s").alias("code"))
+
+
+@query
+def decode_dna(spark: SparkSession, at: str) -> DataFrame:
+    ok = _mates(spark, at).where(dna.is_dna("s"))
+    return ok.select("read_no", "mate", dna.decode_dna(dna.encode_dna("s")).alias("s"))
+
+
+@query
+def mate_name(spark: SparkSession, at: str) -> DataFrame:
+    t = read(spark, at, "read_pairs")
+    return t.select("read_no", dna.mate_name(F.concat("id", F.when(F.col("read_no") % 3 == 0, "_1").when(F.col("read_no") % 3 == 1, "_2").otherwise(""))).alias("mate"))
+
+
+@query
+def flip_dir(spark: SparkSession, at: str) -> DataFrame:
+    plain = _edges(spark, at).where(F.col("edge_type").isin("ff", "fr", "rf", "rr"))
+    return plain.select(*edges.EDGE, dna.flip_dir(F.substring("edge_type", 1, 1)).alias("flipped"))
+
+
+@query
+def flip_link(spark: SparkSession, at: str) -> DataFrame:
+    return _edges(spark, at).where("edge_type not in ('ef', 'er')").select(*edges.EDGE, dna.flip_link("edge_type").alias("flipped"))
+
+
+@query
+def edge_types(spark: SparkSession, at: str) -> DataFrame:
+    e = read(spark, at, "edges").select(dna.checked_type("edge_type").alias("edge_type"))
+    return e.groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query
+def edit_distance(spark: SparkSession, at: str) -> DataFrame:
+    near = _read_f(spark, at).where("read_f is not null").select(F.col("id").alias("src"), F.col("read_f").alias("own"))
+    return _linked_reads(spark, at).join(near, "src").select(*edges.EDGE, dna.edit_distance("own", "read_f").alias("distance"))
+
+
+@query
+def fast_compare(spark: SparkSession, at: str) -> DataFrame:
+    """Texts against themselves with every digit changed: long ones by blocks, short ones by distance."""
+    t = read(spark, at, "documents").where("text is not null")
+    return t.select("doc_id", dna.fast_compare("text", F.translate("text", "0123456789", "9876543210")).alias("alike"))
+
+
+@query
+def str_concat(spark: SparkSession, at: str) -> DataFrame:
+    near = _read_f(spark, at).where("read_f is not null").select(F.col("id").alias("src"), F.col("read_f").alias("own"))
+    ok = _linked_reads(spark, at).join(near, "src").where((F.length("own") >= F.col("overlap")) & (F.length("read_f") >= F.col("overlap")))
+    return ok.select(*edges.EDGE, dna.str_concat("own", "read_f", F.col("overlap")).alias("merged"))
+
+
+@query
+def count_pair_end(spark: SparkSession, at: str) -> DataFrame:
+    """Of each node: how many neighbours by ff, ending in _1, have their mate, ending in _2, among its neighbours by rr."""
+    e = _edges(spark, at)
+    a = e.where("edge_type = 'ff'").select(F.col("src").alias("id"), F.concat("dst", F.lit("_1")).alias("name"))
+    b = e.where("edge_type = 'rr'").select(F.col("src").alias("id"), F.concat("dst", F.lit("_2")).alias("name"))
+    return edges.count_pair_ends(a, b)
+
+
+# k-mers and overlaps
+
+
+@query
+def kmer_anchors(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.anchors(_nodes(spark, at)).select("id", "kmer", "edge_type", "overlap")
+
+
+@query
+def kmer_windows(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.windows(_nodes(spark, at)).select("id", "kmer", "edge_type", "overlap")
+
+
+@query
+def canonical_kmers(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.canonical_kmers(_nodes(spark, at)).select("id", "kmer", "edge_type", "overlap", "is_anchor")
+
+
+@query
+def kmer_coverage(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.kmer_coverage(_nodes(spark, at))
+
+
+@query
+def high_freq_cap(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.cap_frequency(overlap.canonical_kmers(_nodes(spark, at)), 5).select("kmer", "id", "edge_type", "overlap", "is_anchor")
+
+
+@query
+def overlap_edges_full(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.match_prefix(_nodes(spark, at), mode="full")
+
+
+@query
+def overlap_edges_canonical(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.match_prefix(_nodes(spark, at))
+
+
+@query
+def mirror_removed_edges(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.remove_mirrors(overlap.match_prefix(_nodes(spark, at), mode="full"))
+
+
+@query
+def mirror_removed_links(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.remove_mirrors(_edges(spark, at))
+
+
+@query
+def digraph(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.digraph(read(spark, at, "nodes"))
+
+
+@query
+def digraph_degree(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.degree(overlap.match_prefix(_nodes(spark, at)))
+
+
+@query
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return tree.prefix_stats(read(spark, at, "occurrences"))
 
 
+# edges and nodes
+
+
+@query
+def link_degree(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.degree(_edges(spark, at))
+
+
+@query
+def has_edge(spark: SparkSession, at: str) -> DataFrame:
+    """Which links are there from the other end, too."""
+    e = _edges(spark, at)
+    return edges.has_edge(e, e.select(F.col("dst").alias("src"), "edge_type", F.col("src").alias("dst"), "overlap"))
+
+
+@query
+def get_edge(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.get_edge(e, e.where("overlap >= 40"))
+
+
+@query
+def remove_link(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.remove_link(e, e.where("overlap % 3 = 0"))
+
+
+@query
+def remove_link_first(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.remove_link(e, e.where("overlap % 3 = 0").select("src", "edge_type", "dst"))
+
+
+@query
+def remove_link_update(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.remove_link(e, e.withColumn("overlap", F.col("overlap") + 1), missing="ignore")
+
+
+def _changes(e: DataFrame) -> DataFrame:
+    c = e.where("edge_type = 'ff' and overlap % 2 = 0")
+    return c.select("src", F.col("edge_type").alias("old_type"), F.col("dst").alias("old_dst"), F.col("overlap").alias("old_overlap"), F.lit("fr").alias("new_type"), F.col("dst").alias("new_dst"), (F.col("overlap") + 1).alias("new_overlap"))
+
+
+@query
+def replace_link(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.replace_link(e, _changes(e))
+
+
+@query
+def replace_link_oval(spark: SparkSession, at: str) -> DataFrame:
+    e = _edges(spark, at)
+    return edges.replace_link(e, _changes(e), by_overlap=True)
+
+
+@query
+def contained_reads(spark: SparkSession, at: str) -> DataFrame:
+    return edges.contained_reads(_edges(spark, at).withColumn("overlap", F.col("overlap") - 40))
+
+
+@query
+def black_degree(spark: SparkSession, at: str) -> DataFrame:
+    return edges.black_degree(_black(spark, at))
+
+
+@query
+def is_black(spark: SparkSession, at: str) -> DataFrame:
+    return edges.is_black(_ids(spark, at), _edges(spark, at), _black(spark, at))
+
+
+@query
+def is_gray(spark: SparkSession, at: str) -> DataFrame:
+    return edges.is_gray(_ids(spark, at), _edges(spark, at), _black(spark, at), _gray(spark, at))
+
+
+@query
+def node_message(spark: SparkSession, at: str) -> DataFrame:
+    n = _nodes(spark, at)
+    lists = _edges(spark, at).groupBy(F.col("src").alias("id"), "edge_type").agg(F.sort_array(F.collect_list(dna.edge_text("dst", "overlap"))).alias("l"))
+    maps = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "l"))).alias("edges"))
+    return nodemsg.node_lines(n.where("cov is not null").join(maps, "id", "left"))
+
+
+@query
+def node_parse(spark: SparkSession, at: str) -> DataFrame:
+    """Nodes written as lines, read again: id, encoded pair, coverage, number of ff edges."""
+    p = nodemsg.parse_node_lines(node_message(spark, at))
+    return p.select("id", F.col("fields")["s"][0].alias("s"), F.col("fields")["v"][0].alias("v"), F.greatest(F.size(F.coalesce(F.try_element_at("fields", F.lit("ff")), F.array())), F.lit(0)).alias("n_ff"))
+
+
+@query
+def node_parse_only(spark: SparkSession, at: str) -> DataFrame:
+    p = nodemsg.parse_node_lines(node_message(spark, at), only=["ff", "rr"])
+    return p.select("id", F.explode("fields").alias("code", "values")).select("id", "code", F.array_join("values", ",").alias("list"))
+
+
+# consensus and chains
+
+
+@query
+def consensus_majority(spark: SparkSession, at: str) -> DataFrame:
+    items = _linked_reads(spark, at).select(F.col("src").alias("grp"), F.col("read_f").alias("seq"), F.col("cov").alias("weight"))
+    return consensus.consensus_majority(items, (1, 2), (9, 10))
+
+
+@query
+def consensus_plurality(spark: SparkSession, at: str) -> DataFrame:
+    items = _linked_reads(spark, at).select(F.col("src").alias("grp"), F.col("read_f").alias("seq"), F.col("cov").alias("weight"))
+    return consensus.consensus_plurality(items, (9, 10))
+
+
+@query
+def select_black_edge(spark: SparkSession, at: str) -> DataFrame:
+    return consensus.select_black_edge(_black(spark, at), "f")
+
+
+@query
+def tails(spark: SparkSession, at: str) -> DataFrame:
+    return paths.tails(_edges(spark, at), _black(spark, at))
+
+
+@query
+def find_tails(spark: SparkSession, at: str) -> DataFrame:
+    return paths.find_tails(_ids(spark, at), _edges(spark, at))
+
+
+@query
+def find_tails_overlaps(spark: SparkSession, at: str) -> DataFrame:
+    """The chains of the overlap graph itself, over its longest overlap between two nodes."""
+    e = overlap.match_prefix(_nodes(spark, at)).where(F.col("edge_type").isin("ff", "rr"))
+    e = e.groupBy("src", "edge_type", "dst").agg(F.max("overlap").alias("overlap")).select(*edges.EDGE)
+    return paths.find_tails(_ids(spark, at), e)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_loaded, p3_found)}
+    return dict(_ALL)
