@@ -38,9 +38,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandloom-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def _fs_path(spark: SparkSession, path: str):
