@@ -41,7 +41,8 @@ def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     integers through the dictionary (hot values are salted), and the sorted tuples
     are grouped. An empty table gives no rows; ties are resolved by the key.
     """
-    t = df.select(F.col(key).alias("_key"), *(F.col(c).cast("string").alias(c) for c in fields))
+    t = df.select(F.col(key).alias("_key"), *(F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(fields)))
+    fields = [f"_f{i}" for i in range(len(fields))]
     for c in fields:
         t = t.where(F.col(c).isNotNull())
     written = t.groupBy(*fields).agg(F.count("*").alias("copies"), F.min("_key").alias("keep"))

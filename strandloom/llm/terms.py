@@ -155,6 +155,5 @@ class TermCounts:
 def deliveries(df: DataFrame, at: str, share: float = 0.9) -> list[DataFrame]:
     """The table as it stood when about ``share`` of it had arrived, and whole. Rows
     without a time of arrival come last."""
-    cut = df.agg(F.percentile_approx(at, share).alias("cut"))
-    early = df.join(F.broadcast(cut), F.col(at) <= F.col("cut"), "left_semi")
-    return [early, df]
+    cut = df.agg(F.percentile_approx(at, share)).first()[0]
+    return [df.where(F.col(at) <= F.lit(cut)), df]
