@@ -11,32 +11,32 @@ def spread(columns: list[Column | str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: int = 1000) -> list:
     """Keys that hold more than 1/share of the non-null rows: fewer than ``share``
-    rows by arithmetic, whatever the table holds, so they may be broadcast."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all"))
-        .select(F.col(key))
-    )
+    by arithmetic, whatever the table holds. Counted before anything is shuffled
+    by row; ``df`` is read twice, so it should be a stored table or a narrow view of one."""
+    some = df.where(F.col(key).isNotNull()).select(key)
+    total = some.count()
+    counts = some.groupBy(key).agg(F.count("*").alias("_n"))
+    return [r[0] for r in counts.where(F.col("_n") * share > total).collect()]
 
 
 def salted_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, salts: int = 64, share: int = 1000, how: str = "inner"
+    facts: DataFrame, lookup: DataFrame, key: str, salts: int = 64, share: int = 1000, how: str = "inner", hot: list | None = None
 ) -> DataFrame:
     """``facts`` joined with ``lookup``, which holds each ``key`` at most once.
 
-    Rows of hot keys are dealt over ``salts`` parts by their other columns and
-    the lookup's rows of those keys (fewer than ``share``) are repeated once a
-    part; all other rows keep salt 0. No row is dropped. Null keys match
-    nothing. ``how`` is inner or left.
+    Rows of hot keys are dealt over ``salts`` parts by their other columns and the
+    lookup's rows of those keys (fewer than ``share``) are repeated once a part;
+    all other rows keep salt 0. No row is dropped. Null keys match nothing. ``how``
+    is inner or left; ``hot`` gives the hot keys where they are known.
     """
-    hot = F.broadcast(hot_keys(facts, key, share).withColumn("_hot", F.lit(True)))
+    if hot is None:
+        hot = hot_keys(facts, key, share)
+    if not hot:
+        return facts.join(lookup, key, how)
     rest = [c for c in facts.columns if c != key]
-    dealt = facts.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread(rest or [key], salts)).otherwise(F.lit(0))
-    ).drop("_hot")
-    spots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    wide = lookup.join(hot, key, "left").withColumn("_salt", F.explode(spots)).drop("_hot")
-    return dealt.join(wide, [key, "_salt"], how).drop("_salt")
+    is_hot = F.col(key).isin(hot)
+    dealt = facts.withColumn("_salt", F.when(is_hot, spread(rest or [key], salts)).otherwise(F.lit(0)))
+    spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(lookup.withColumn("_salt", F.explode(spots)), [key, "_salt"], how).drop("_salt")
