@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.skew import salted_lookup
+from strandloom.operators.skew import hot_keys, salted_lookup
 from strandloom.session import write_table
 
 
@@ -45,11 +45,12 @@ def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     fields = [f"_f{i}" for i in range(len(fields))]
     for c in fields:
         t = t.where(F.col(c).isNotNull())
-    written = t.groupBy(*fields).agg(F.count("*").alias("copies"), F.min("_key").alias("keep"))
-    words, _ = write_table(dictionary(df, fields), "dictionary")
+    written, _ = write_table(t.groupBy(*fields).agg(F.count("*").alias("copies"), F.min("_key").alias("keep")), "written")
+    words, _ = write_table(dictionary(written, fields), "dictionary")
+    hot = {c: hot_keys(written, c) for c in fields}
     for i, c in enumerate(fields):
         lookup = words.select(F.col("value").alias(c), F.col("value_id").alias(f"_v{i}"))
-        written = salted_lookup(written, lookup, c).drop(c)
+        written = salted_lookup(written, lookup, c, hot=hot[c]).drop(c)
     tuples = written.withColumn("tuple", F.sort_array(F.array(*(F.col(f"_v{i}") for i in range(len(fields))))))
     return tuples.groupBy("tuple").agg(F.min("keep").alias("keep"), F.sum("copies").alias("copies")).drop("tuple")
 

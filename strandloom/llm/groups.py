@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import chunks
-from strandloom.operators.skew import salted_lookup, spread
+from strandloom.operators.skew import hot_keys, salted_lookup, spread
 from strandloom.session import drop_table, write_table
 
 #: Edges that a task unites at once.
@@ -72,16 +72,19 @@ def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: in
     """
     spark = links.sparkSession
     ends = links.select(F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b")).where("a is not null and b is not null").distinct()
+    ends, ends_path = write_table(ends, "ends")
+    hot = {end: hot_keys(ends, end) for end in ("a", "b")}
     names = number_names(ends.select(F.explode(F.array("a", "b")).alias("name")))
     for end, v in (("a", "u"), ("b", "v")):
-        ends = salted_lookup(ends, names.select(F.col("name").alias(end), F.col("v").alias(v)), end).drop(end)
+        ends = salted_lookup(ends, names.select(F.col("name").alias(end), F.col("v").alias(v)), end, hot=hot[end]).drop(end)
     edges, path = write_table(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    drop_table(spark, ends_path)
     many = edges.count()
     parents: list[DataFrame] = []
     while many:
         grid = int(np.ceil(np.sqrt(many / chunk_edges)))
         stars, _ = write_table(_round(edges, grid, chunk_edges), "stars")
-        parents.append(stars.select("v", "least").distinct())
+        parents.append(stars.select("v", "least").distinct())  # one row a vertex: all its rows name the same least
         apart = stars.where("rep != least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
         left, left_path = write_table(apart, "edges")
         drop_table(spark, path)
@@ -92,5 +95,7 @@ def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: in
     while parents:
         known = label.select(F.col("v").alias("least"), "root")
         label = salted_lookup(parents.pop(), known, "least", how="left").select("v", F.coalesce("root", "least").alias("root"))
+    label, _ = write_table(label, "labels")
+    hot_roots = hot_keys(label, "root")
     named = label.join(names.withColumnRenamed("name", "nodeid"), "v").select("nodeid", "root")
-    return salted_lookup(named, names.select(F.col("v").alias("root"), F.col("name").alias("group_id")), "root").select("nodeid", "group_id")
+    return salted_lookup(named, names.select(F.col("v").alias("root"), F.col("name").alias("group_id")), "root", hot=hot_roots).select("nodeid", "group_id")

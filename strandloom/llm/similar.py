@@ -106,6 +106,7 @@ def classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = pairs.select(F.col("read_no").cast("long").alias("read_no"), letters("seq_f").alias("x"), letters("seq_r").alias("y"))
     t = t.where("x is not null and y is not null").where(holds_base(F.col("x")) & holds_base(F.col("y")))
     t = t.select("read_no", F.concat_ws("|", F.least("x", "y"), F.greatest("x", "y")).alias("content"))
+    t, _ = write_table(t, "contents")
     reps, _ = write_table(t.groupBy("content").agg(F.min("read_no").alias("rep")), "classes")
     texts = reps.select("rep", F.substring_index("content", "|", 1).alias("a"), F.substring_index("content", "|", -1).alias("b"))
     return texts, salted_lookup(t, reps, "content").select("read_no", "rep")
@@ -151,6 +152,7 @@ def linked_classes(pairs: DataFrame, **how) -> DataFrame:
     """One row a record: ``(read_no, class_no, links)``: its class of copies and the
     number of other classes that are similar to it."""
     texts, members = classes(pairs)
+    members, _ = write_table(members, "members")
     linked = similar_classes(texts, **how)
     ends = linked.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     return salted_lookup(members, ends, "rep", how="left").select(

@@ -178,7 +178,7 @@ def _find(span: int, rounds: int):
 
 
 def _in_two(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur in two records."""
+    """Keys that occur in two records; the counts are combined before the shuffle."""
     ends = df.groupBy(key).agg(F.min("rec").alias("_a"), F.max("rec").alias("_b"))
     return ends.where("_a < _b").select(key)
 
