@@ -41,7 +41,7 @@ class Index:
     """Shift table and suffix buckets of all runs of ``run`` words of the items."""
 
     def __init__(self, items: list[tuple[int, str | None]], run: int = RUN):
-        self.run = run
+        self.run, self.block, self.suffix = run, min(BLOCK, run), min(SUFFIX, run)
         self.ids: dict[str, int] = {}
         texts = [(i, np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)), np.int32)) for i, t in items]
         texts = [(i, t) for i, t in texts if len(t) >= run]
@@ -55,11 +55,11 @@ class Index:
             self.items = item[order]
             self.begin = np.concatenate([[0], np.cumsum(np.bincount(at.ravel(), minlength=len(self.runs)))])
         self.bits = max(8, int(len(self.runs) * run * 4).bit_length())
-        self.shift = np.full(1 << self.bits, run - BLOCK + 1, np.int32)
+        self.shift = np.full(1 << self.bits, run - self.block + 1, np.int32)
         flat, ends = self.runs.ravel(), np.arange(len(self.runs)) * run
-        for j in range(BLOCK - 1, run):
-            np.minimum.at(self.shift, self._slot(_hash(flat, ends + j, BLOCK)), run - 1 - j)
-        bucket = self._slot(_hash(flat, ends + run - 1, SUFFIX))
+        for j in range(self.block - 1, run):
+            np.minimum.at(self.shift, self._slot(_hash(flat, ends + j, self.block)), run - 1 - j)
+        bucket = self._slot(_hash(flat, ends + run - 1, self.suffix))
         self.by_bucket = np.argsort(bucket, kind="stable")
         self.bucket = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << self.bits))])
 
@@ -76,7 +76,7 @@ class Index:
         stop = np.minimum(pos + LANE, offsets[1:][text])
         found = []
         while len(pos):
-            step = self.shift[self._slot(_hash(tokens, pos, BLOCK))]
+            step = self.shift[self._slot(_hash(tokens, pos, self.block))]
             found.append(pos[step == 0])
             pos = pos + np.maximum(step, 1)
             on = pos < stop
@@ -86,7 +86,7 @@ class Index:
     def search(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, item) with a run in common."""
         end = self.ends(tokens, offsets)
-        slot = self._slot(_hash(tokens, end, SUFFIX))
+        slot = self._slot(_hash(tokens, end, self.suffix))
         size = self.bucket[slot + 1] - self.bucket[slot]
         at = np.repeat(self.bucket[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         run, pos = self.by_bucket[at], np.repeat(end, size)
