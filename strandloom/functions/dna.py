@@ -180,3 +180,28 @@ def add_once(items: Column | str, one: Column) -> Column:
 def pair_ends(mates: Column | str, own: Column | str) -> Column:
     """The mates of a node, or itself if it has none."""
     return F.coalesce(_col(mates), F.array(_col(own)))
+
+
+def tail_text(node: Column | str, direction: Column | str, dist: Column | str) -> Column:
+    """``id dir dist`` of where a walk stands."""
+    return F.concat_ws(" ", _col(node), _col(direction), _col(dist).cast("string"))
+
+
+def candidate_text(node: Column | str, overlap: Column | str, cov: Column | str) -> Column:
+    """``id!overlap|cov`` of an edge candidate."""
+    return F.concat(edge_text(node, overlap), F.lit("|"), _col(cov).cast("string"))
+
+
+def overlap_info(message: Column | str, offset: int = 0) -> Column:
+    """The struct of an overlap message: the fields after the tag ``O`` at ``offset`` of a
+    tab-separated line; another tag is an error."""
+    part = F.split(_col(message), "\t")
+    at = lambda i: F.get(part, F.lit(offset + i))
+    made = F.struct(at(1).alias("id"), at(2).alias("str"), at(3).alias("edge_type"), at(4).cast("int").alias("overlap_size"))
+    return F.when(at(0) == "O", made).when(_col(message).isNotNull(), F.raise_error(F.lit("unknown message type")))
+
+
+def overlap_text(info: Column | str) -> Column:
+    """``type id overlap str`` of an overlap message."""
+    c = _col(info)
+    return F.concat_ws(" ", c["edge_type"], c["id"], c["overlap_size"].cast("string"), c["str"])

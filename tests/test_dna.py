@@ -112,3 +112,11 @@ def test_lists(value):
     assert value(dna.ordered_distinct("a"), a=["b", "a", "b"]) == ["b", "a"]
     assert value(dna.add_once("a", F.lit("b")), a=["b"]) == ["b"] and value(dna.add_once("a", F.lit("c")), a=["b"]) == ["b", "c"]
     assert value(dna.pair_ends("a", "s"), a=["b"], s="own") == ["b"]
+
+
+def test_texts_of_records(value):
+    assert value(dna.tail_text("a", "d", "n"), a="x", d="f", n=3) == "x f 3"
+    assert value(dna.candidate_text("a", "n", "c"), a="x", n=3, c=2.0) == "x!3|2.0"
+    assert value(dna.overlap_text(dna.overlap_info("m", 1)), m="k\tO\tx\tACGT\tff\t22") == "ff x 22 ACGT"
+    with pytest.raises(Exception, match="unknown"):
+        value(dna.overlap_info("m"), m="k\tO\tx\tACGT\tff\t22")
