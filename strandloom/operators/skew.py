@@ -22,21 +22,23 @@ def hot_keys(df: DataFrame, key: str, share: int = 1000) -> list:
 
 
 def salted_lookup(
-    facts: DataFrame, lookup: DataFrame, key: str, salts: int = 64, share: int = 1000, how: str = "inner", hot: list | None = None
+    facts: DataFrame, lookup: DataFrame, key: str | list[str], salts: int = 64, share: int = 1000, how: str = "inner", hot: list | None = None
 ) -> DataFrame:
-    """``facts`` joined with ``lookup``, which holds each ``key`` at most once.
+    """``facts`` joined with ``lookup``, which holds each ``key`` at most once; of several
+    key columns the first tells whether a row is hot.
 
     Rows of hot keys are dealt over ``salts`` parts by their other columns and the
     lookup's rows of those keys (fewer than ``share``) are repeated once a part;
     all other rows keep salt 0. No row is dropped. Null keys match nothing. ``how``
     is inner or left; ``hot`` gives the hot keys where they are known.
     """
+    keys = [key] if isinstance(key, str) else key
     if hot is None:
-        hot = hot_keys(facts, key, share)
+        hot = hot_keys(facts, keys[0], share)
     if not hot:
-        return facts.join(lookup, key, how)
-    rest = [c for c in facts.columns if c != key]
-    is_hot = F.col(key).isin(hot)
-    dealt = facts.withColumn("_salt", F.when(is_hot, spread(rest or [key], salts)).otherwise(F.lit(0)))
+        return facts.join(lookup, keys, how)
+    rest = [c for c in facts.columns if c not in keys]
+    is_hot = F.col(keys[0]).isin(hot)
+    dealt = facts.withColumn("_salt", F.when(is_hot, spread(rest or keys, salts)).otherwise(F.lit(0)))
     spots = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(lookup.withColumn("_salt", F.explode(spots)), [key, "_salt"], how).drop("_salt")
+    return dealt.join(lookup.withColumn("_salt", F.explode(spots)), [*keys, "_salt"], how).drop("_salt")
