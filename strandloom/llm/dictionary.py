@@ -36,12 +36,12 @@ def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``(keep, copies)``: the smallest key and the number of rows of each group of
     records whose fields are equal in content, in any order of the fields.
 
-    Records with a null field or one without a base are left out. Equal writings
+    Records with a null key, a null field or a field without a base are left out. Equal writings
     are counted before anything is shuffled by value, the fields are rewritten as
     integers through the dictionary (hot values are salted), and the sorted tuples
     are grouped. An empty table gives no rows; ties are resolved by the key.
     """
-    t = df.select(F.col(key).alias("_key"), *(F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(fields)))
+    t = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *(F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(fields)))
     fields = [f"_f{i}" for i in range(len(fields))]
     for c in fields:
         t = t.where(F.col(c).isNotNull())

@@ -104,7 +104,7 @@ def classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts ``(rep, a, b)``, one for each class of copies, under its smallest
     read_no, and membership ``(read_no, rep)``."""
     t = pairs.select(F.col("read_no").cast("long").alias("read_no"), letters("seq_f").alias("x"), letters("seq_r").alias("y"))
-    t = t.where("x is not null and y is not null").where(holds_base(F.col("x")) & holds_base(F.col("y")))
+    t = t.where("read_no is not null and x is not null and y is not null").where(holds_base(F.col("x")) & holds_base(F.col("y")))
     t = t.select("read_no", F.concat_ws("|", F.least("x", "y"), F.greatest("x", "y")).alias("content"))
     t, _ = write_table(t, "contents")
     reps, _ = write_table(t.groupBy("content").agg(F.min("read_no").alias("rep")), "classes")
@@ -139,7 +139,7 @@ def similar_classes(
 def near_duplicates(pairs: DataFrame, **how) -> DataFrame:
     """``(read_a, read_b)``, read_a < read_b: all rows of similar classes that are not
     copies of each other. Rows with a null mate or a mate without a base are left
-    out; an empty table gives no rows."""
+    out, so are those with a null read_no; an empty table gives no rows."""
     texts, members = classes(pairs)
     members, _ = write_table(members, "members")
     linked, _ = write_table(similar_classes(texts, **how), "linked")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.vectors import BASE, chunks, flat, owners, slices
+from strandloom.functions.vectors import BASE, chunks, codes, flat, owners, slices
 from strandloom.operators.skew import salted_lookup
 from strandloom.session import write_table
 
@@ -177,10 +177,30 @@ def _find(span: int, rounds: int):
     return run
 
 
-def _in_two(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur in two records; the counts are combined before the shuffle."""
-    ends = df.groupBy(key).agg(F.min("rec").alias("_a"), F.max("rec").alias("_b"))
-    return ends.where("_a < _b").select(key)
+def _spread_out(span: int):
+    """The windows of fragments, each as whole numbers of 31 letters of two bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, CHUNK_ROWS):
+            data, offsets = flat(t["text"])
+            n = np.diff(offsets) - span + 1
+            row = np.repeat(np.arange(len(n)), n)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = offsets[:-1][row] + i
+            first = t["first"].to_numpy()[row] + i
+            word = [codes(data, start + j, min(31, span - j)) for j in range(0, span, 31)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t["rec"].to_numpy()[row]), pa.array(t["mate"].to_numpy()[row]), pa.array(first.astype(np.int32)), *map(pa.array, word)],
+                ["rec", "mate", "first", *(f"w{j}" for j in range(len(word)))],
+            )
+
+    return run
+
+
+def _in_two(df: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur in two records; counts are combined before the shuffle."""
+    ends = df.groupBy(*keys).agg(F.min("rec").alias("_a"), F.max("rec").alias("_b"))
+    return ends.where("_a < _b").select(*keys)
 
 
 def shared_windows(reads: DataFrame, span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
@@ -189,24 +209,24 @@ def shared_windows(reads: DataFrame, span: int = SPAN, rounds: int = ROUNDS) ->
     schema = "name long, rec long, mate int, first int, text string"
     symbols, _ = write_table(reads.mapInArrow(_find(span, rounds), schema), "symbols")
     told = salted_lookup(symbols, _in_two(symbols, "name"), "name")
-    last = F.length("text") - span
-    spread_out = told.select("rec", "mate", "first", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    windows = spread_out.select("rec", "mate", (F.col("first") + F.col("i")).alias("first"), F.substring("text", F.col("i") + 1, F.lit(span)).alias("window"))
-    windows, _ = write_table(windows, "windows")
-    return salted_lookup(windows, _in_two(windows, "window"), "window").select("rec", "mate", "first")
+    words = [f"w{j}" for j in range(-(-span // 31))]
+    schema = "rec long, mate int, first int, " + ", ".join(f"{w} long" for w in words)
+    windows, _ = write_table(told.select("rec", "mate", "first", "text").mapInArrow(_spread_out(span), schema), "windows")
+    return salted_lookup(windows, _in_two(windows, *words), words).select("rec", "mate", "first")
 
 
-def shared_bases(nodes: DataFrame, key: str = "id", order: str = "node_row", fields: tuple[str, ...] = ("read_f", "read_r"), span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
+def shared_bases(nodes: DataFrame, key: str = "id", fields: tuple[str, ...] = ("read_f", "read_r"), span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
     """``(id, shared_bases)`` of each record that shares a span with another one: the
     number of its letters that lie in shared windows of ``span`` letters.
 
-    Rows with the same key are one record, numbered by the smallest ``order``;
-    rows with a null key are left out; null and shorter texts share nothing, nor
+    Rows with the same key are one record, of the first content in the order of its
+    fields; rows with a null key are left out; null and shorter texts share nothing, nor
     do letters other than A, C, G, T; repeats within a record do not count.
     """
     content = F.struct(*(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
-    one = nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(order).cast("long")).alias("rec"), F.min(content).alias("c"))
-    one, _ = write_table(one.select("id", "rec", "c.*"), "records")
+    one = nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(content).alias("c"))
+    # written once: the numbers must not change if a task runs again
+    one, _ = write_table(one.select("id", F.monotonically_increasing_id().alias("rec"), "c.*"), "records")
     found = shared_windows(one.drop("id"), span, rounds)
     here = Window.partitionBy("rec", "mate").orderBy("first")
     step = F.least(F.lit(span), F.coalesce(F.lead("first").over(here) - F.col("first"), F.lit(span)))

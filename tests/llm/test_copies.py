@@ -20,7 +20,7 @@ def frame(spark, rows):
 def groups(rows):
     out = defaultdict(list)
     for n, f, r in rows:
-        if f is None or r is None:
+        if n is None or f is None or r is None:
             continue
         f, r = (re.sub("[^A-Z]", "", s.upper()) for s in (f, r))
         if set(f) & set("ACGT") and set(r) & set("ACGT"):
@@ -62,7 +62,7 @@ def sample(rng, n):
             g = messy(rng, "".join(g))
             rows.append((g, messy(rng, r)) if rng.random() < 0.5 else (messy(rng, r), g))
     rows += [(None, "ACGT"), ("ACGT", None), ("", "ACGT"), ("12-", "ACGT"), ("NNN", "ACGT"), ("acgt", "A"), ("A", "AC-GT"), ("CC", "GG"), rows[0], rows[0]]
-    return [(i * 7 % 10_007, *x) for i, x in enumerate(rows)]
+    return [(i * 7 % 10_007, *x) for i, x in enumerate(rows)] + [(None, *rows[0]), (None, *rows[1])]
 
 
 def test_copies_of_any_writing(spark, rows):

@@ -11,10 +11,10 @@ DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 def model(docs, items, run):
     held = {}
     for i, t in items:
-        w = words(t)
+        w = words(t) if i is not None else []
         for j in range(len(w) - run + 1):
             held.setdefault(tuple(w[j : j + run]), set()).add(i)
-    return sorted({(d, i) for d, t in docs for w in [words(t)] for j in range(len(w) - run + 1) for i in held.get(tuple(w[j : j + run]), ())}, key=repr)
+    return sorted({(d, i) for d, t in docs if d is not None for w in [words(t)] for j in range(len(w) - run + 1) for i in held.get(tuple(w[j : j + run]), ())}, key=repr)
 
 
 def frames(spark, docs, items):
@@ -29,14 +29,14 @@ def test_random_texts(spark, rows, run):
     rng = random.Random(run)
     pool = [f"w{i}" for i in range(6)] + ["The", "OF", "and"]
     say = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choices(pool, k=n))
-    items = [(i, say(rng.randrange(40))) for i in range(30)] + [(90, None), (91, ""), (92, "ab cd")]
+    items = [(i, say(rng.randrange(40))) for i in range(30)] + [(None, "The OF and " * 20), (90, None), (91, ""), (92, "ab cd")]
     docs = []
     for i in range(150):
         t = say(rng.randrange(60))
         if i % 3 == 0:
             t += " " + (rng.choice(items[:30])[1])
         docs.append((i, t))
-    docs += [(900, None), (901, ""), (902, "日本語 ! ?"), (5, docs[3][1])]
+    docs += [(None, docs[0][1]), (900, None), (901, ""), (902, "日本語 ! ?"), (5, docs[3][1])]
     d, q = frames(spark, docs, items)
     want = model(docs, items, run)
     assert rows(leaks(d, q, run=run)) == want

@@ -58,7 +58,7 @@ def test_shared_bases(spark, rows, span):
     rng = random.Random(span)
     t = texts(rng, 160)
     src = [(f"r{i}", i, t[2 * i], t[2 * i + 1]) for i in range(70)]
-    src += [("r3", 900, t[6], t[7]), (None, 901, t[0], t[1]), ("null", 902, None, t[4]), ("short", 903, "ACG", ""), ("twice", 904, "ACGT" * 3 + t[140], t[140])]
+    src += [("r3", None, t[6], t[7]), (None, 901, t[0], t[1]), ("null", 902, None, t[4]), ("short", 903, "ACG", ""), ("twice", 904, "ACGT" * 3 + t[140], t[140])]
     df = spark.createDataFrame(src, SCHEMA)
     for c in ("rec", "name", "text", "first", "window", "mate"):
         df = df.withColumn(c, F.lit("x"))
