@@ -13,15 +13,24 @@ BASE = np.full(256, 4, np.uint8)
 BASE[[65, 67, 71, 84]] = range(4)
 
 
-def chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Tables of ``rows`` rows at least (but for the last) from the batches."""
-    held, n = [], 0
+#: Bytes of a chunk, but for a single row that is longer.
+CHUNK_BYTES = 4 << 20
+
+
+def chunks(batches: Iterable[pa.RecordBatch], rows: int, size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows from the batches, fewer where rows are long: what a
+    task holds at once is bounded by ``size`` bytes or by its longest row."""
+    held, n, total = [], 0, 0
     for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        step = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            if n and (n + part.num_rows > rows or total + part.nbytes > size):
+                yield pa.Table.from_batches(held)
+                held, n, total = [], 0, 0
+            held.append(part)
+            n += part.num_rows
+            total += part.nbytes
     if n:
         yield pa.Table.from_batches(held)
 

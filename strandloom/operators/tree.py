@@ -19,7 +19,7 @@ FAN_IN = 32
 
 def _combine(rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, rows):
+        for t in chunks(batches, rows, 32 << 20):
             t = t.append_column("n_rows", pa.array([1] * t.num_rows, pa.int64()))
             g = t.group_by(["key", "member"], use_threads=False).aggregate([("n_rows", "sum"), ("measure", "max")])
             yield from g.select(["key", "member", "n_rows_sum", "measure_max"]).rename_columns(

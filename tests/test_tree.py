@@ -46,3 +46,16 @@ def test_salted_lookup_keeps_all_rows(spark, rows):
     assert rows(salted_lookup(facts, lookup, "k", salts=8, share=10).select("n", "v")) == rows(plain)
     left = facts.join(lookup, "k", "left").select("n", "v")
     assert rows(salted_lookup(facts, lookup, "k", salts=8, share=10, how="left").select("n", "v")) == rows(left)
+
+
+def test_chunks_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from strandloom.functions.vectors import chunks
+
+    texts = ["x" * (i % 50) for i in range(1000)] + ["y" * 5000] + ["z"] * 10
+    batches = pa.table({"t": texts}).to_batches(max_chunksize=333)
+    parts = list(chunks(batches, 100, 2000))
+    assert [x for p in parts for x in p["t"].to_pylist()] == texts
+    assert all(p.num_rows <= 100 and p.nbytes <= 8000 for p in parts)
+    assert list(chunks([], 5)) == []
