@@ -35,7 +35,7 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _forest(rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, rows):
+        for t in chunks(batches, rows, 32 << 20):  # 16 bytes an edge
             v, rep = union_find(t["u"].to_numpy(), t["v"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(rep)], ["v", "rep"])
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.vectors import chunks
+
 #: Where the vocabulary file of the tokenizer lies; only the driver reads it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pattern that splits text before merging, fixed by the vocabulary. White
@@ -159,26 +161,24 @@ def _encode(voc: Vocabulary, key: str, key_type: pa.DataType):
         split = regex.compile(PIECES, regex.V1).findall
         known: dict[str, int] = {}
         table: list[np.ndarray] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                t = batch.slice(at, CHUNK_ROWS)
-                texts = [split(x) if x else [] for x in t["text"].to_pylist()]
-                if len(table) > MEMORY:
-                    known, table = {}, []
-                new = list({p for pieces in texts for p in pieces if p not in known})
-                for p, ids in zip(new, encode_pieces(voc, [p.encode("utf-8", "replace") for p in new])):
-                    known[p] = len(table)
-                    table.append(ids)
-                size = np.fromiter(map(len, table), np.int64, len(table))
-                begin = np.concatenate([[0], np.cumsum(size)])
-                pool = np.concatenate([*table, np.zeros(0, np.int32)])
-                piece = np.fromiter((known[p] for pieces in texts for p in pieces), np.int64)
-                n = size[piece]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                flat = pool[np.repeat(begin[piece] - ends[:-1], n) + np.arange(ends[-1])] if len(piece) else pool[:0]
-                per_text = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-                ids = pa.ListArray.from_arrays(pa.array(ends[per_text].astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([t[key].cast(key_type), ids], [key, "ids"])
+        for t in chunks(batches, CHUNK_ROWS):
+            texts = [split(x) if x else [] for x in t["text"].to_pylist()]
+            if len(table) > MEMORY:
+                known, table = {}, []
+            new = list({p for pieces in texts for p in pieces if p not in known})
+            for p, ids in zip(new, encode_pieces(voc, [p.encode("utf-8", "replace") for p in new])):
+                known[p] = len(table)
+                table.append(ids)
+            size = np.fromiter(map(len, table), np.int64, len(table))
+            begin = np.concatenate([[0], np.cumsum(size)])
+            pool = np.concatenate([*table, np.zeros(0, np.int32)])
+            piece = np.fromiter((known[p] for pieces in texts for p in pieces), np.int64)
+            n = size[piece]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            flat = pool[np.repeat(begin[piece] - ends[:-1], n) + np.arange(ends[-1])] if len(piece) else pool[:0]
+            per_text = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+            ids = pa.ListArray.from_arrays(pa.array(ends[per_text].astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([t[key].combine_chunks().cast(key_type), ids], [key, "ids"])
 
     return run
 
