@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from strandloom.operators.paths import find_tails, tails
 
 EDGES = "src string, edge_type string, dst string, overlap int"
@@ -59,8 +57,12 @@ def nodes_of(edges):
     return sorted({x for s, _, d, _ in edges for x in (s, d)})
 
 
-@pytest.mark.parametrize("name, edges, black", list(shapes()), ids=[s[0] for s in shapes()])
-def test_shapes(spark, name, edges, black):
+def test_shapes(spark):
+    """All shapes as parts of one graph."""
+    edges, black = [], []
+    for name, own, dark in shapes():
+        edges += [(f"{name} {a}", t, f"{name} {b}", n) for a, t, b, n in own]
+        black += [(f"{name} {a}", c) for a, c in dark]
     nodes = nodes_of(edges)
     got = find_tails(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, EDGES), spark.createDataFrame(black, BLACK))
     rows = [tuple(r) for r in got.collect()]
