@@ -112,3 +112,11 @@ def count_pair_ends(a: DataFrame, b: DataFrame, group: str = "id", name: str = "
     mates = b.select(group, F.col(name).alias("_mate")).distinct().withColumn("_hit", F.lit(1))
     met = a.select(group, mate_name(name).alias("_mate")).join(mates, [group, "_mate"], "left")
     return met.groupBy(group).agg(F.count("_hit").alias("pair_ends"))
+
+
+def merged_lists(edges: DataFrame) -> DataFrame:
+    """``(src, edge_type, links)``: the links of each node and type as sorted texts
+    ``dst!overlap``, for node lines; a list is as long as the node has links."""
+    from strandloom.functions.dna import edge_text
+
+    return edges.groupBy("src", "edge_type").agg(F.sort_array(F.collect_list(edge_text("dst", "overlap"))).alias("links"))

@@ -70,7 +70,10 @@ def observed(df: DataFrame, name: str = "reads"):
 
 def usable_nodes(nodes: DataFrame, k: int = K) -> DataFrame:
     """One row an id ``(id, seq_f, seq_r, cov)`` of the nodes whose two reads are longer
-    than k and all of A, C, G, T: what the overlap stages take in."""
+    than k and all of A, C, G, T: what the overlap stages take in. Nodes with reads in a
+    column ``contained`` are left out, where there is one."""
+    if "contained" in nodes.columns:
+        nodes = nodes.where(F.col("contained").isNull())
     ok = nodes.where(F.col("id").isNotNull() & (F.length("read_f") > k) & (F.length("read_r") > k))
     ok = ok.where(~F.col("read_f").rlike("[^ACGT]") & ~F.col("read_r").rlike("[^ACGT]"))
     first = ok.groupBy("id").agg(F.min(F.struct("read_f", "read_r")).alias("s"), F.min("cov").alias("cov"))

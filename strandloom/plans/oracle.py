@@ -267,6 +267,12 @@ def oracle_sql() -> dict[str, str]:
             select * from e where not (edge_type = 'ff' and overlap % 2 = 0) union all select src, 'fr', dst, overlap + 1 from c""",
         "contained_reads": f"with {_EDGES} select src as id, list(dst order by dst) as contained from e where overlap < 40 group by 1",
         "black_degree": f"with {_BLACK} select id, left(con, 1) as dir, count(*) as blkdegree from black group by 1, 2",
+        "keep_black": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) = 'f'",
+        "clear_black": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) <> 'f'",
+        "merged_lists": """
+            select src, edge_type, list(dst || '!' || overlap order by dst || '!' || overlap) as links from edges where src is not null and dst is not null group by 1, 2""",
+        "pair_ends": f"""with {_EDGES}, m as (select src, list(distinct dst order by dst) as l from e where edge_type in ('fe', 're') group by 1)
+            select id, coalesce(l, [id]) as mates from (select distinct id from nodes where id is not null) left join m on src = id""",
         "is_black": f"""with {_BLACK}
             select id, d as dir, not exists (
                 select 1 from e where src = ids.id and edge_type in (d || 'f', d || 'r')

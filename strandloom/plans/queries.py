@@ -320,6 +320,29 @@ def black_degree(spark: SparkSession, at: str) -> DataFrame:
     return edges.black_degree(_black(spark, at))
 
 
+@query
+def keep_black(spark: SparkSession, at: str) -> DataFrame:
+    return edges.keep_black(_black(spark, at), "f").select("id", "con", "node_id", "oval_size")
+
+
+@query
+def clear_black(spark: SparkSession, at: str) -> DataFrame:
+    return edges.clear_black(_black(spark, at), "f").select("id", "con", "node_id", "oval_size")
+
+
+@query
+def merged_lists(spark: SparkSession, at: str) -> DataFrame:
+    return edges.merged_lists(read(spark, at, "edges").where("src is not null and dst is not null"))
+
+
+@query
+def pair_ends(spark: SparkSession, at: str) -> DataFrame:
+    """Each node with the distinct nodes that it has e links to, or with itself."""
+    e = _edges(spark, at).where(F.col("edge_type").isin("fe", "re"))
+    mates = e.groupBy(F.col("src").alias("id")).agg(F.sort_array(dna.ordered_distinct(F.collect_list("dst"))).alias("mates"))
+    return _ids(spark, at).join(mates, "id", "left").select("id", dna.pair_ends("mates", "id").alias("mates"))
+
+
 @query
 def is_black(spark: SparkSession, at: str) -> DataFrame:
     return edges.is_black(_ids(spark, at), _edges(spark, at), _black(spark, at))
@@ -333,8 +356,8 @@ def is_gray(spark: SparkSession, at: str) -> DataFrame:
 @query
 def node_message(spark: SparkSession, at: str) -> DataFrame:
     n = _nodes(spark, at)
-    lists = _edges(spark, at).groupBy(F.col("src").alias("id"), "edge_type").agg(F.sort_array(F.collect_list(dna.edge_text("dst", "overlap"))).alias("l"))
-    maps = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "l"))).alias("edges"))
+    lists = edges.merged_lists(_edges(spark, at)).withColumnRenamed("src", "id")
+    maps = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "links"))).alias("edges"))
     return nodemsg.node_lines(n.where("cov is not null").join(maps, "id", "left"))
 
 

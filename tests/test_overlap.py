@@ -94,6 +94,8 @@ def test_usable_nodes(spark, rows):
     s = "ACGT" * 6
     df = spark.createDataFrame([("a", s, s, None), ("a", s, s, 1.0), (None, s, s, 1.0), ("b", s, None, 1.0), ("c", s, s[:21], 1.0), ("d", s, s + "N", 1.0)], "id string, read_f string, read_r string, cov float")
     assert rows(usable_nodes(df)) == [("a", s, s, 1.0)]
+    held = df.selectExpr("*", "if(id = 'a', array('x'), null) as contained")
+    assert rows(usable_nodes(held)) == []
 
 
 def test_empty(spark):
