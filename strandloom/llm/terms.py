@@ -78,8 +78,8 @@ def _summed(t: DataFrame, buckets: int) -> DataFrame:
 
 def decode(term: Column, k: int) -> Column:
     """The letters of a coded term."""
-    four = [F.substring(F.lit("ACGT"), (F.shiftright(term, 2 * (k - 1 - j)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for j in range(k)]
-    return F.concat(*four)
+    digits = F.lpad(F.conv(term.cast("string"), 10, 4), k, "0")
+    return F.translate(digits, "0123", "ACGT")
 
 
 class TermCounts:

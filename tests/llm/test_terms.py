@@ -58,7 +58,7 @@ def test_deliveries(spark):
     assert 0 < early.count() < 60 and whole.count() == 70
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.dictionaries(st.sampled_from("abcd"), st.tuples(st.text("ACGN", max_size=9), st.one_of(st.none(), st.text("AC", max_size=6))), max_size=4), min_size=2, max_size=3))
 def test_any_history(spark, states):
     store = TermCounts(spark, k=2, buckets=3)
