@@ -17,10 +17,20 @@ from strandloom.session import drop_table, write_table
 CHUNK_EDGES = 1 << 16
 
 
-def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices and, for each, the smallest vertex that these edges link it to."""
-    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
+def priority(v: np.ndarray, turn: int) -> np.ndarray:
+    """A random order of the vertices, another one each round."""
+    x = v.astype(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def union_find(u: np.ndarray, v: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and, for each, the one of least priority that these edges link it to."""
+    names = np.unique(np.concatenate([u, v]))
+    names = names[np.argsort(priority(names, turn), kind="stable")]
+    by_name = np.argsort(names)
+    a, b = (by_name[np.searchsorted(names[by_name], x)] for x in (u, v))
     parent = np.arange(len(names))
     while True:
         ra, rb = parent[a], parent[b]
@@ -33,48 +43,54 @@ def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = parent[parent]
 
 
-def _forest(rows: int):
+def _forest(rows: int, turn: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, rows, 32 << 20):  # 16 bytes an edge
-            v, rep = union_find(t["u"].to_numpy(), t["v"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(rep)], ["v", "rep"])
+            v, rep = union_find(t["u"].to_numpy(), t["v"].to_numpy(), turn)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(rep), pa.array(priority(rep, turn))], ["v", "rep", "order"])
 
     return run
 
 
-def _round(edges: DataFrame, grid: int, rows: int) -> DataFrame:
-    """``(v, rep, least)``: what each block of the grid, and what all together, know as
-    the smallest vertex linked to v."""
+def _round(edges: DataFrame, grid: int, rows: int, turn: int) -> DataFrame:
+    """``(v, rep, least)``: what a block of the grid, and what all blocks of v's row and
+    column together, know as the representative of v."""
     cells = edges.select("u", "v", spread(["u"], grid).alias("i"), spread(["v"], grid).alias("j")).repartition(grid * grid, "i", "j")
-    stars = cells.select("u", "v").mapInArrow(_forest(rows), "v long, rep long")
-    return stars.withColumn("least", F.min("rep").over(Window.partitionBy("v")))
+    stars = cells.select("u", "v").mapInArrow(_forest(rows, turn), "v long, rep long, order long")
+    best = F.min(F.struct("order", "rep")).over(Window.partitionBy("v"))  # as many rows a vertex as chunks hold it
+    return stars.select("v", "rep", best["rep"].alias("least"))
 
 
-def number_names(names: DataFrame) -> DataFrame:
-    """Distinct ``name`` with a number each that keeps their byte order."""
-    parts = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = names.select("name").distinct().repartitionByRange(parts, "name").sortWithinPartitions("name")
-    return write_table(order.withColumn("v", F.monotonically_increasing_id()), "names")[0]
+def _contracted(stars: DataFrame) -> DataFrame:
+    """Edges between the representatives of the vertices that a block knows as linked."""
+    own = stars.where("v = rep").select("rep", F.col("least").alias("over")).distinct()
+    pairs, _ = write_table(stars.select("rep", "least").distinct(), "pairs")
+    joined = salted_lookup(pairs, own, "rep").where("least != over")
+    return joined.select(F.least("least", "over").alias("u"), F.greatest("least", "over").alias("v")).distinct()
 
 
 def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """``(nodeid, group_id)`` for each node of a link with two ends: the smallest id,
     in byte order, among all nodes linked to it directly or indirectly.
 
-    Vertices are numbered in byte order and hashed into blocks of a two-
-    dimensional grid. A round runs union-find on the edges of every pair of
-    blocks, in chunks of bounded size, exchanges the representatives that a
-    vertex got in its row and column of blocks, and keeps only the edges between
-    representatives that still differ. Rounds end when none is left; then the
-    parents of the rounds are followed back. Links of a node to itself give a
-    group of one; repeated and mirrored links count once; null ends and empty
-    tables give no rows.
+    Vertices are numbered and hashed into blocks of a two-dimensional grid. A round
+    runs union-find on the edges of every pair of blocks, in chunks of bounded
+    size, and exchanges the representatives that a vertex got in its row and column
+    of blocks: the one of least priority stands for it. Then edges are drawn
+    between representatives only. Priorities are random and change each round, so
+    that a quarter of the vertices at least is expected to go in a round, however
+    the ids run along a chain; once the edges fit into a chunk, one round ends it.
+    At the end the parents of the rounds are followed back. Links of a node to
+    itself give a group of one; repeated and mirrored links count once; null ends
+    and empty tables give no rows.
     """
     spark = links.sparkSession
     ends = links.select(F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b")).where("a is not null and b is not null").distinct()
     ends, ends_path = write_table(ends, "ends")
     hot = {end: hot_keys(ends, end) for end in ("a", "b")}
-    names = number_names(ends.select(F.explode(F.array("a", "b")).alias("name")))
+    # written once: the numbers must not change if a task runs again
+    names = ends.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    names, _ = write_table(names.select("name", F.monotonically_increasing_id().alias("v")), "names")
     for end, v in (("a", "u"), ("b", "v")):
         ends = salted_lookup(ends, names.select(F.col("name").alias(end), F.col("v").alias(v)), end, hot=hot[end]).drop(end)
     edges, path = write_table(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
@@ -83,10 +99,9 @@ def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: in
     parents: list[DataFrame] = []
     while many:
         grid = int(np.ceil(np.sqrt(many / chunk_edges)))
-        stars, _ = write_table(_round(edges, grid, chunk_edges), "stars")
+        stars, _ = write_table(_round(edges, grid, chunk_edges, len(parents)), "stars")
         parents.append(stars.select("v", "least").distinct())  # one row a vertex: all its rows name the same least
-        apart = stars.where("rep != least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
-        left, left_path = write_table(apart, "edges")
+        left, left_path = write_table(_contracted(stars), "edges")
         drop_table(spark, path)
         edges, path, many = left, left_path, left.count()
     if not parents:
@@ -95,7 +110,5 @@ def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: in
     while parents:
         known = label.select(F.col("v").alias("least"), "root")
         label = salted_lookup(parents.pop(), known, "least", how="left").select("v", F.coalesce("root", "least").alias("root"))
-    label, _ = write_table(label, "labels")
-    hot_roots = hot_keys(label, "root")
-    named = label.join(names.withColumnRenamed("name", "nodeid"), "v").select("nodeid", "root")
-    return salted_lookup(named, names.select(F.col("v").alias("root"), F.col("name").alias("group_id")), "root", hot=hot_roots).select("nodeid", "group_id")
+    named, _ = write_table(label.join(names.withColumnRenamed("name", "nodeid"), "v").select("nodeid", "root"), "labels")
+    return salted_lookup(named, named.groupBy("root").agg(F.min("nodeid").alias("group_id")), "root").select("nodeid", "group_id")
