@@ -9,10 +9,17 @@ from strandloom.functions.dna import canonical, revcomp
 from strandloom.operators.reads import K
 
 
-def _item(kmer: Column, types: tuple[str, str], overlap: Column, anchor: bool) -> list[Column]:
+#: The types of which mirrored edges keep one.
+KEPT = ("ff", "fe", "rr", "re")
+
+
+def _item(kmer: Column, types: tuple[str, str], overlap: Column, anchor: bool, once: bool) -> list[Column]:
     """The two forms in which a k-mer goes out: as it stands under the first type,
-    reverse complemented under the second."""
+    reverse complemented under the second; or, once, its canonical form under the
+    type that survives the removal of mirrored edges."""
     make = lambda w, t: F.struct(w.alias("kmer"), F.lit(t).alias("edge_type"), overlap.cast("int").alias("overlap"), F.lit(anchor).alias("is_anchor"))
+    if once:
+        return [make(canonical(kmer), types[0] if types[0] in KEPT else types[1])]
     return [make(kmer, types[0]), make(revcomp(kmer), types[1])]
 
 
@@ -21,24 +28,24 @@ def _end(seq: str, k: int) -> tuple[Column, Column, Column]:
     return F.substring(c, F.lit(1), F.lit(k)), F.substring(c, n - k + 1, F.lit(k)), n
 
 
-def anchors(reads: DataFrame, k: int = K) -> DataFrame:
+def anchors(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
     """The eight k-mers at the ends of each pair that overlaps start from."""
     f0, f1, lf = _end("seq_f", k)
     r0, r1, lr = _end("seq_r", k)
     items = (
-        _item(f0, ("ff", "fr"), lf, True) + _item(f1, ("ef", "fe"), lf, True) + _item(r0, ("re", "er"), lr, True) + _item(r1, ("rf", "rr"), lr, True)
+        _item(f0, ("ff", "fr"), lf, True, once) + _item(f1, ("ef", "fe"), lf, True, once) + _item(r0, ("re", "er"), lr, True, once) + _item(r1, ("rf", "rr"), lr, True, once)
     )
     return reads.select("id", "cov", F.inline(F.array(*items)))
 
 
-def windows(reads: DataFrame, k: int = K) -> DataFrame:
+def windows(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
     """The k-mers between the ends, each mate within its own length. Overlaps count
     from the window to the end of mate 1, and from the start to the window's end in mate 2."""
 
     def inner(seq: str, types: tuple[str, str], overlap) -> Column:
         last = F.length(seq) - k - 1
         at = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(at, lambda i: F.array(*_item(F.substring(F.col(seq), i + 1, F.lit(k)), types, overlap(i), False))))
+        return F.flatten(F.transform(at, lambda i: F.array(*_item(F.substring(F.col(seq), i + 1, F.lit(k)), types, overlap(i), False, once))))
 
     both = F.concat(inner("seq_f", ("ff", "fr"), lambda i: F.length("seq_f") - i), inner("seq_r", ("rf", "rr"), lambda i: i + k))
     return reads.select("id", "cov", F.inline(both))
@@ -52,8 +59,7 @@ def kmers(reads: DataFrame, k: int = K) -> DataFrame:
 def canonical_kmers(reads: DataFrame, k: int = K) -> DataFrame:
     """Half of the rows of ``kmers``: each place once, under the canonical k-mer, with
     the type that survives the removal of mirrored edges."""
-    kept = F.when(F.col("is_anchor"), F.col("edge_type").isin("ff", "fe", "rr", "re")).otherwise(F.col("edge_type").isin("ff", "rr"))
-    return kmers(reads, k).where(kept).withColumn("kmer", canonical("kmer"))
+    return anchors(reads, k, once=True).unionByName(windows(reads, k, once=True))
 
 
 def kmer_coverage(reads: DataFrame, k: int = K) -> DataFrame:
