@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.dna import canonical, revcomp
+from strandloom.functions.dna import BASES, is_dna
 from strandloom.operators.reads import K
 
 
@@ -13,42 +13,58 @@ from strandloom.operators.reads import K
 KEPT = ("ff", "fe", "rr", "re")
 
 
-def _item(kmer: Column, types: tuple[str, str], overlap: Column, anchor: bool, once: bool) -> list[Column]:
+def _turned(seq: str) -> Column:
+    """The whole read reverse complemented, letter by letter, so that each k-mer's own is a part of it."""
+    return F.reverse(F.translate(F.col(seq), BASES, BASES[::-1]))
+
+
+def _both(odd: Column, seq: Column, rc: Column, n: Column, at: Column, k: int) -> tuple[Column, Column]:
+    """The k-mer that ``at`` of the n letters precede, and its reverse complement; ``odd`` tells
+    whether the read holds letters that the latter drops."""
+    part = F.substring(rc, n - at - k + 1, F.lit(k))
+    return F.substring(seq, at + 1, F.lit(k)), F.when(odd, F.regexp_replace(part, "[^ACGT]", "")).otherwise(part)
+
+
+def _item(kmer: Column, rc: Column, types: tuple[str, str], overlap: Column, once: bool) -> list[Column]:
     """The two forms in which a k-mer goes out: as it stands under the first type,
     reverse complemented under the second; or, once, its canonical form under the
     type that survives the removal of mirrored edges."""
-    make = lambda w, t: F.struct(w.alias("kmer"), F.lit(t).alias("edge_type"), overlap.cast("int").alias("overlap"), F.lit(anchor).alias("is_anchor"))
+    make = lambda w, t: F.struct(w.alias("kmer"), F.lit(t).alias("edge_type"), overlap.cast("int").alias("overlap"))
     if once:
-        return [make(canonical(kmer), types[0] if types[0] in KEPT else types[1])]
-    return [make(kmer, types[0]), make(revcomp(kmer), types[1])]
-
-
-def _end(seq: str, k: int) -> tuple[Column, Column, Column]:
-    c, n = F.col(seq), F.length(seq)
-    return F.substring(c, F.lit(1), F.lit(k)), F.substring(c, n - k + 1, F.lit(k)), n
+        return [make(F.least(kmer, rc), types[0] if types[0] in KEPT else types[1])]
+    return [make(kmer, types[0]), make(rc, types[1])]
 
 
 def anchors(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
     """The eight k-mers at the ends of each pair that overlaps start from."""
-    f0, f1, lf = _end("seq_f", k)
-    r0, r1, lr = _end("seq_r", k)
-    items = (
-        _item(f0, ("ff", "fr"), lf, True, once) + _item(f1, ("ef", "fe"), lf, True, once) + _item(r0, ("re", "er"), lr, True, once) + _item(r1, ("rf", "rr"), lr, True, once)
+    items = []
+    for seq, first, last in (("seq_f", ("ff", "fr"), ("ef", "fe")), ("seq_r", ("re", "er"), ("rf", "rr"))):
+        n = F.length(seq)
+        for at, types in ((F.lit(0), first), (n - k, last)):
+            items += _item(*_both(F.col(f"{seq}_odd"), F.col(seq), F.col(f"{seq}_rc"), n, at, k), types, n, once)
+    turned = reads.select(
+        "id", "cov", "seq_f", "seq_r", *(_turned(c).alias(f"{c}_rc") for c in ("seq_f", "seq_r")), *((~is_dna(c)).alias(f"{c}_odd") for c in ("seq_f", "seq_r"))
     )
-    return reads.select("id", "cov", F.inline(F.array(*items)))
+    return turned.select("id", "cov", F.inline(F.array(*items))).withColumn("is_anchor", F.lit(True))
 
 
 def windows(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
     """The k-mers between the ends, each mate within its own length. Overlaps count
-    from the window to the end of mate 1, and from the start to the window's end in mate 2."""
-
-    def inner(seq: str, types: tuple[str, str], overlap) -> Column:
-        last = F.length(seq) - k - 1
-        at = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(at, lambda i: F.array(*_item(F.substring(F.col(seq), i + 1, F.lit(k)), types, overlap(i), False, once))))
-
-    both = F.concat(inner("seq_f", ("ff", "fr"), lambda i: F.length("seq_f") - i), inner("seq_r", ("rf", "rr"), lambda i: i + k))
-    return reads.select("id", "cov", F.inline(both))
+    from the window to the end of mate 1, and from the start to the window's end in
+    mate 2. Mates and places are rows of their own, so all of it is generated code."""
+    mate = lambda c: F.struct(F.lit(c == "seq_f").alias("fwd"), F.col(c).alias("s"), F.length(c).alias("n"), _turned(c).alias("rc"), (~is_dna(c)).alias("odd"))
+    mates = reads.select("id", "cov", F.inline(F.array(mate("seq_f"), mate("seq_r")))).where(F.col("n") > k + 1)
+    at = mates.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - k - 1)).alias("at"))
+    one, rc = _both(*map(F.col, ("odd", "s", "rc", "n", "at")), k)
+    overlap = F.when(F.col("fwd"), F.col("n") - F.col("at")).otherwise(F.col("at") + k).cast("int").alias("overlap")
+    places = at.select("id", "cov", "fwd", one.alias("one"), rc.alias("turned"), overlap)
+    kind = lambda f, r: F.when(F.col("fwd"), f).otherwise(r).alias("edge_type")
+    if once:
+        out = places.select("id", "cov", F.least("one", "turned").alias("kmer"), kind("ff", "rr"), "overlap")
+    else:
+        forms = F.array(F.struct(F.col("one").alias("kmer"), kind("ff", "rf")), F.struct(F.col("turned").alias("kmer"), kind("fr", "rr")))
+        out = places.select("id", "cov", F.inline(forms), "overlap").select("id", "cov", "kmer", "edge_type", "overlap")
+    return out.withColumn("is_anchor", F.lit(False))
 
 
 def kmers(reads: DataFrame, k: int = K) -> DataFrame:
@@ -85,7 +101,7 @@ def match_prefix(reads: DataFrame, k: int = K, mode: str = "canonical", max_kmer
     t = canonical_kmers(reads, k) if mode == "canonical" else kmers(reads, k)
     if max_kmer_freq:
         t = cap_frequency(t, max_kmer_freq)
-    a = t.where("is_anchor").select("kmer", F.col("id").alias("src"), "edge_type")
+    a = t.where("is_anchor").select("kmer", F.col("id").alias("src"), "edge_type")  # a constant of each part: windows aren't made for this side
     o = t.select("kmer", F.col("id").alias("dst"), "overlap")
     return a.join(o, "kmer").where("src <> dst").select("src", "edge_type", "dst", "overlap").distinct()
 
