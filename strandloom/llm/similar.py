@@ -129,7 +129,8 @@ def similar_classes(
         "sig", F.col("rep").alias("rep_b"), F.col("size").alias("size_b")
     )
     near = (F.col("rep_a") < F.col("rep_b")) & (F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over)
-    met = a.join(b, "sig").where(near).select("rep_a", "rep_b").distinct()
+    # 96 rows a text, which the planner takes for one: never a side to broadcast
+    met = a.join(b.hint("merge"), "sig").where(near).select("rep_a", "rep_b").distinct()
     for side in "ab":
         own = texts.select(F.col("rep").alias(f"rep_{side}"), F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b"))
         met = met.join(own, f"rep_{side}")
