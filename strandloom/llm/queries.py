@@ -168,4 +168,22 @@ def oracle_sql() -> dict[str, str]:
                 cast(case when nl = 0 then 0 else 1000 * enders // nl end as bigint) as enders_m,
                 cast(case when nw = 0 then 0 else 1000 * common // nw end as bigint) as common_m
             from n""",
+        "p10_rules": f"""
+            with {_STATS},
+            n as (
+                select doc_id, len(words) as nw, len(lines) as nl,
+                    length(translate(text, ' ' || chr(9) || chr(13) || chr(10), '')) as letters,
+                    len(regexp_extract_all(text, '#|[.][.][.]|…')) as marks,
+                    len(list_filter(lines, lambda x: left(x, 1) in ('•', '-', '*', '‣', '◦'))) as bullets,
+                    len(list_filter(lines, lambda x: right(x, 3) = '...' or right(x, 1) = '…')) as dotted,
+                    len(list_filter(words, lambda w: regexp_matches(w, '[\\p{{L}}]'))) as alphabetic,
+                    len(list_filter(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'],
+                        lambda s: list_contains(list_transform(words, lambda w: trim(lower(w), {_SYMBOLS})), s))) as stops
+                from t)
+            select doc_id, list_filter([
+                case when nw < 50 or nw > 100000 then 'words' end, case when letters < 3 * nw or letters > 10 * nw then 'word_length' end,
+                case when 10 * marks > nw then 'symbols' end, case when 10 * bullets > 9 * nl then 'bullets' end,
+                case when 10 * dotted > 3 * nl then 'ellipses' end, case when 10 * alphabetic < 8 * nw then 'alphabetic' end,
+                case when stops < 2 then 'stop_words' end], lambda x: x is not null) as reasons
+            from n""",
     }
