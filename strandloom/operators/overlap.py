@@ -18,11 +18,14 @@ def _turned(seq: str) -> Column:
     return F.reverse(F.translate(F.col(seq), BASES, BASES[::-1]))
 
 
-def _both(odd: Column, seq: Column, rc: Column, n: Column, at: Column, k: int) -> tuple[Column, Column]:
-    """The k-mer that ``at`` of the n letters precede, and its reverse complement; ``odd`` tells
-    whether the read holds letters that the latter drops."""
-    part = F.substring(rc, n - at - k + 1, F.lit(k))
-    return F.substring(seq, at + 1, F.lit(k)), F.when(odd, F.regexp_replace(part, "[^ACGT]", "")).otherwise(part)
+def _both(seq: Column, rc: Column, n: Column, at: Column, k: int) -> tuple[Column, Column]:
+    """The k-mer that ``at`` of the n letters precede, and its reverse complement."""
+    return F.substring(seq, at + 1, F.lit(k)), F.substring(rc, n - at - k + 1, F.lit(k))
+
+
+def _clean(kmer: str) -> Column:
+    """Whether a k-mer is all of A, C, G, T; looked at only where ``odd`` says that its read is not."""
+    return ~F.col("odd") | is_dna(kmer)
 
 
 def _item(kmer: Column, rc: Column, types: tuple[str, str], overlap: Column, once: bool) -> list[Column]:
@@ -36,28 +39,30 @@ def _item(kmer: Column, rc: Column, types: tuple[str, str], overlap: Column, onc
 
 
 def anchors(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
-    """The eight k-mers at the ends of each pair that overlaps start from."""
+    """The eight k-mers at the ends of each pair that overlaps start from; those with a
+    letter other than A, C, G, T are left out, the pair's others stay."""
     items = []
     for seq, first, last in (("seq_f", ("ff", "fr"), ("ef", "fe")), ("seq_r", ("re", "er"), ("rf", "rr"))):
         n = F.length(seq)
         for at, types in ((F.lit(0), first), (n - k, last)):
-            items += _item(*_both(F.col(f"{seq}_odd"), F.col(seq), F.col(f"{seq}_rc"), n, at, k), types, n, once)
+            items += _item(*_both(F.col(seq), F.col(f"{seq}_rc"), n, at, k), types, n, once)
     turned = reads.select(
-        "id", "cov", "seq_f", "seq_r", *(_turned(c).alias(f"{c}_rc") for c in ("seq_f", "seq_r")), *((~is_dna(c)).alias(f"{c}_odd") for c in ("seq_f", "seq_r"))
+        "id", "cov", "seq_f", "seq_r", *(_turned(c).alias(f"{c}_rc") for c in ("seq_f", "seq_r")), (~is_dna("seq_f") | ~is_dna("seq_r")).alias("odd")
     )
-    return turned.select("id", "cov", F.inline(F.array(*items))).withColumn("is_anchor", F.lit(True))
+    return turned.select("id", "cov", "odd", F.inline(F.array(*items))).where(_clean("kmer")).drop("odd").withColumn("is_anchor", F.lit(True))
 
 
 def windows(reads: DataFrame, k: int = K, once: bool = False) -> DataFrame:
     """The k-mers between the ends, each mate within its own length. Overlaps count
     from the window to the end of mate 1, and from the start to the window's end in
-    mate 2. Mates and places are rows of their own, so all of it is generated code."""
+    mate 2. Those with a letter other than A, C, G, T are left out. Mates and places are
+    rows of their own, so all of it is generated code."""
     mate = lambda c: F.struct(F.lit(c == "seq_f").alias("fwd"), F.col(c).alias("s"), F.length(c).alias("n"), _turned(c).alias("rc"), (~is_dna(c)).alias("odd"))
     mates = reads.select("id", "cov", F.inline(F.array(mate("seq_f"), mate("seq_r")))).where(F.col("n") > k + 1)
     at = mates.select("*", F.explode(F.sequence(F.lit(1), F.col("n") - k - 1)).alias("at"))
-    one, rc = _both(*map(F.col, ("odd", "s", "rc", "n", "at")), k)
+    one, rc = _both(*map(F.col, ("s", "rc", "n", "at")), k)
     overlap = F.when(F.col("fwd"), F.col("n") - F.col("at")).otherwise(F.col("at") + k).cast("int").alias("overlap")
-    places = at.select("id", "cov", "fwd", one.alias("one"), rc.alias("turned"), overlap)
+    places = at.select("id", "cov", "fwd", "odd", one.alias("one"), rc.alias("turned"), overlap).where(_clean("one"))
     kind = lambda f, r: F.when(F.col("fwd"), f).otherwise(r).alias("edge_type")
     if once:
         out = places.select("id", "cov", F.least("one", "turned").alias("kmer"), kind("ff", "rr"), "overlap")
@@ -78,6 +83,15 @@ def canonical_kmers(reads: DataFrame, k: int = K) -> DataFrame:
     return anchors(reads, k, once=True).unionByName(windows(reads, k, once=True))
 
 
+def kmer_counts(reads: DataFrame, k: int = K) -> DataFrame:
+    """``(counter, n)``: places of k-mers, at the ends and inside, that are kept, and those
+    left out for a letter other than A, C, G, T."""
+    mates = reads.select(F.explode(F.array("seq_f", "seq_r")).alias("s")).select("s", (~is_dna("s")).alias("odd")).where(F.length("s") >= k)
+    at = mates.select("odd", "s", F.explode(F.sequence(F.lit(0), F.length("s") - k)).alias("at")).select("odd", F.substring(F.col("s"), F.col("at") + 1, F.lit(k)).alias("kmer"))
+    one = at.agg(F.count_if(_clean("kmer")).alias("kmers_kept"), F.count_if(~_clean("kmer")).alias("kmers_omitted"))
+    return one.unpivot([], ["kmers_kept", "kmers_omitted"], "counter", "n")
+
+
 def kmer_coverage(reads: DataFrame, k: int = K) -> DataFrame:
     """``(kmer, n, cov_sum)`` over the inner windows, coverage cut to whole numbers."""
     return windows(reads, k).groupBy("kmer").agg(F.count("*").alias("n"), F.sum(F.col("cov").cast("int")).alias("cov_sum"))
@@ -135,8 +149,8 @@ def degree(edges: DataFrame) -> DataFrame:
     return plain.groupBy(F.col("src").alias("id"), F.substring("edge_type", 1, 1).alias("dir")).agg(F.count("*").alias("degree"))
 
 
-def digraph(nodes: DataFrame, k: int = K) -> DataFrame:
+def digraph(nodes: DataFrame, k: int = K, odd: str = "drop") -> DataFrame:
     """From cleaned nodes to the digraph: one shuffle for the join, one for the distinct edges."""
     from strandloom.operators.reads import usable_nodes
 
-    return to_digraph(match_prefix(usable_nodes(nodes, k), k))
+    return to_digraph(match_prefix(usable_nodes(nodes, k, odd), k))

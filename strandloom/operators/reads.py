@@ -18,10 +18,11 @@ def split_block(text: Column | str) -> Column:
     return F.transform(F.split(F.regexp_replace(c, "[\r\n]+$", ""), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", keep: tuple[str, ...] = ()) -> DataFrame:
+def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", keep: tuple[str, ...] = (), odd: str = "drop") -> DataFrame:
     """All blocks, the columns ``keep`` of them, with their cleaned id and mates and ``verdict``: input_lines_invalid
     (not eight lines), very_reads_short (a trimmed mate of k letters or fewer),
-    reads_non_dna (a letter other than A, C, G, T inside a mate) or reads_good."""
+    reads_non_dna (a letter other than A, C, G, T inside a mate; with ``odd`` "keep" these
+    are good, too) or reads_good."""
     lines = blocks.select(*keep, split_block(F.coalesce(text, F.lit(""))).alias("_l"))
     line = lambda i: F.get(F.col("_l"), F.lit(i))
     r = lines.select(
@@ -32,7 +33,7 @@ def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: s
     verdict = (
         F.when(~F.col("_eight"), "input_lines_invalid")
         .when(F.least(F.length("seq_f"), F.length("seq_r")) <= k, "very_reads_short")
-        .when(dna_f | dna_r, "reads_non_dna")
+        .when((dna_f | dna_r) & F.lit(odd == "drop"), "reads_non_dna")
         .otherwise("reads_good")
     )
     return r.select(
@@ -41,10 +42,10 @@ def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: s
     )
 
 
-def prepare_reads(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep") -> DataFrame:
+def prepare_reads(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", odd: str = "drop") -> DataFrame:
     """``(id, seq_f, seq_r, cov)`` of the good pairs. One pass, no shuffle; blank and
     null blocks are invalid; repeated pairs stay."""
-    good = judged(blocks, text, k, trim_mode).where("verdict = 'reads_good'")
+    good = judged(blocks, text, k, trim_mode, odd=odd).where("verdict = 'reads_good'")
     return good.select("id", "seq_f", "seq_r", F.lit(FIRST_COV).cast("float").alias("cov"))
 
 
@@ -68,13 +69,16 @@ def observed(df: DataFrame, name: str = "reads"):
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def usable_nodes(nodes: DataFrame, k: int = K) -> DataFrame:
+def usable_nodes(nodes: DataFrame, k: int = K, odd: str = "drop") -> DataFrame:
     """One row an id ``(id, seq_f, seq_r, cov)`` of the nodes whose two reads are longer
-    than k and all of A, C, G, T: what the overlap stages take in. Nodes with reads in a
-    column ``contained`` are left out, where there is one."""
+    than k: what the overlap stages take in. Reads with a letter other than A, C, G, T
+    stay with ``odd`` "keep" (the k-mers that hold one are left out later); "drop" leaves
+    out the whole pair. Nodes with reads in a column ``contained`` are left out, where
+    there is one."""
     if "contained" in nodes.columns:
         nodes = nodes.where(F.col("contained").isNull())
     ok = nodes.where(F.col("id").isNotNull() & (F.length("read_f") > k) & (F.length("read_r") > k))
-    ok = ok.where(~F.col("read_f").rlike("[^ACGT]") & ~F.col("read_r").rlike("[^ACGT]"))
+    if odd == "drop":
+        ok = ok.where(~F.col("read_f").rlike("[^ACGT]") & ~F.col("read_r").rlike("[^ACGT]"))
     first = ok.groupBy("id").agg(F.min(F.struct("read_f", "read_r")).alias("s"), F.min("cov").alias("cov"))
     return first.select("id", F.col("s.read_f").alias("seq_f"), F.col("s.read_r").alias("seq_r"), "cov")

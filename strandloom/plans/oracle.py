@@ -110,6 +110,21 @@ _CANON = f"""{_KMERS},
     canon_edges as (
         select distinct a.id as src, a.edge_type, o.id as dst, o.overlap from canon a join canon o on a.kmer = o.kmer and a.id <> o.id where a.is_anchor)"""
 
+# the same over all pairs; k-mers with another letter are left out
+_NODES_ALL = """
+    n as (
+        select id, min(struct_pack(f := read_f, r := read_r)) as s, min(cov) as cov from nodes
+        where id is not null and length(read_f) > 21 and length(read_r) > 21 group by id),
+    u as (select id, s.f as f, s.r as r, cov, length(s.f) as lf, length(s.r) as lr from n)"""
+
+_KMERS_ALL = f"""{_KMERS.replace(_NODES, _NODES_ALL)},
+    kmers_all as (select * from kmers where regexp_full_match(kmer, '[ACGT]{{21}}')),
+    canon_all as (
+        select id, least(kmer, {_rc('kmer')}) as kmer, edge_type, overlap, is_anchor from kmers_all
+        where case when is_anchor then edge_type in ('ff', 'fe', 'rr', 're') else edge_type in ('ff', 'rr') end),
+    edges_all as (
+        select distinct a.id as src, a.edge_type, o.id as dst, o.overlap from canon_all a join canon_all o on a.kmer = o.kmer and a.id <> o.id where a.is_anchor)"""
+
 _EDGES = """
     e as (select distinct src, edge_type, dst, overlap from edges where src is not null and dst is not null)"""
 
@@ -249,6 +264,14 @@ def oracle_sql() -> dict[str, str]:
             select case when edge_type in ('ff', 'fe') then src else dst end as src, case when edge_type in ('ff', 'fe') then dst else src end as dst from canon_edges""",
         "digraph_degree": f"""with {_CANON}
             select src as id, left(edge_type, 1) as dir, count(*) as degree from canon_edges where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1, 2""",
+        "kmers_all": f"with {_KMERS_ALL} select * from kmers_all",
+        "kmer_counts_all": f"""with {_NODES_ALL}, m as (select f as s from u union all select r from u),
+            w as (select substr(s, cast(i as bigint), 21) as k from (select s, unnest(range(1, length(s) - 19)) as i from m))
+            select 'kmers_kept' as counter, count(*) filter (where regexp_full_match(k, '[ACGT]{{21}}')) as n from w
+            union all select 'kmers_omitted', count(*) filter (where not regexp_full_match(k, '[ACGT]{{21}}')) from w""",
+        "overlap_edges_all": f"with {_KMERS_ALL} select * from edges_all",
+        "digraph_all": f"""with {_KMERS_ALL}
+            select case when edge_type in ('ff', 'fe') then src else dst end as src, case when edge_type in ('ff', 'fe') then dst else src end as dst from edges_all""",
         "link_degree": f"with {_EDGES} select src as id, left(edge_type, 1) as dir, count(*) as degree from e where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1, 2",
         "has_edge": f"""with {_EDGES}
             select dst as src, edge_type, src as dst, overlap, exists (select 1 from e b where b.src = a.dst and b.dst = a.src and b.edge_type = a.edge_type and b.overlap = a.overlap) as found from e a""",

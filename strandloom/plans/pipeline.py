@@ -12,17 +12,19 @@ from strandloom.operators import overlap, reads
 from strandloom.sources.fastq import read_fastq
 
 
-def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep") -> DataFrame:
+def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep", odd: str = "drop") -> DataFrame:
     """``(id, seq_f, seq_r, cov)`` of pairs as the FASTQ source reads them; short pairs
-    and those with a letter other than A, C, G, T inside are left out."""
+    are left out, and with ``odd`` "drop" those with a letter other than A, C, G, T inside."""
     r = pairs.select(clean_id("id").alias("id"), trim_n(F.upper("seq_f"), trim_mode).alias("seq_f"), trim_n(F.upper("seq_r"), trim_mode).alias("seq_r"))
-    ok = r.where((F.length("seq_f") > k) & (F.length("seq_r") > k) & ~F.col("seq_f").rlike("[^ACGT]") & ~F.col("seq_r").rlike("[^ACGT]"))
+    ok = r.where((F.length("seq_f") > k) & (F.length("seq_r") > k))
+    if odd == "drop":
+        ok = ok.where(~F.col("seq_f").rlike("[^ACGT]") & ~F.col("seq_r").rlike("[^ACGT]"))
     return ok.withColumn("cov", F.lit(reads.FIRST_COV).cast("float"))
 
 
-def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical", max_kmer_freq: int | None = None) -> dict[str, DataFrame]:
+def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical", max_kmer_freq: int | None = None, odd: str = "drop") -> dict[str, DataFrame]:
     """The stages' results by name: reads, edges, digraph. Rows of one id are one node."""
-    own = clean_pairs(pairs, k).groupBy("id").agg(F.min(F.struct("seq_f", "seq_r", "cov")).alias("s")).select("id", "s.*")
+    own = clean_pairs(pairs, k, odd=odd).groupBy("id").agg(F.min(F.struct("seq_f", "seq_r", "cov")).alias("s")).select("id", "s.*")
     edges = overlap.match_prefix(own, k, mode, max_kmer_freq)
     if mode == "full":
         edges = overlap.remove_mirrors(edges)
@@ -34,10 +36,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-i", "--input", required=True, help="file or folder of FASTQ")
     p.add_argument("-o", "--output", required=True, help="folder for reads, edges and digraph")
     p.add_argument("-k", type=int, default=reads.K, help="length of k-mers")
+    p.add_argument("--odd", choices=("keep", "drop"), default="keep", help="pairs with a letter other than A, C, G, T inside: keep them and leave out only their k-mers with one, or drop them")
     p.add_argument("--format", choices=("parquet", "tsv"), default="parquet")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
-    for name, df in assemble_graph(read_fastq(spark, a.input), a.k).items():
+    for name, df in assemble_graph(read_fastq(spark, a.input), a.k, odd=a.odd).items():
         w = df.write.mode("overwrite")
         w.parquet(f"{a.output}/{name}") if a.format == "parquet" else w.option("sep", "\t").csv(f"{a.output}/{name}")
 

@@ -249,6 +249,33 @@ def digraph_degree(spark: SparkSession, at: str) -> DataFrame:
     return overlap.degree(overlap.match_prefix(_nodes(spark, at)))
 
 
+# the same over all pairs: one with an odd letter lacks only the k-mers that hold it
+
+
+def _all_nodes(spark, at) -> DataFrame:
+    return reads.usable_nodes(read(spark, at, "nodes"), odd="keep")
+
+
+@query
+def kmers_all(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.kmers(_all_nodes(spark, at)).select("id", "kmer", "edge_type", "overlap", "is_anchor")
+
+
+@query
+def kmer_counts_all(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.kmer_counts(_all_nodes(spark, at))
+
+
+@query
+def overlap_edges_all(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.match_prefix(_all_nodes(spark, at))
+
+
+@query
+def digraph_all(spark: SparkSession, at: str) -> DataFrame:
+    return overlap.digraph(read(spark, at, "nodes"), odd="keep")
+
+
 @query
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     return tree.prefix_stats(read(spark, at, "occurrences"))

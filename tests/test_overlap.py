@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandloom.operators.overlap import cap_frequency, degree, kmers, match_prefix, remove_mirrors, to_digraph
+from strandloom.operators.overlap import cap_frequency, degree, kmer_counts, kmers, match_prefix, remove_mirrors, to_digraph
 from strandloom.operators.reads import judged, prepare_reads, usable_nodes
 
 SCHEMA = "id string, seq_f string, seq_r string, cov float"
@@ -100,3 +101,23 @@ def test_usable_nodes(spark, rows):
 
 def test_empty(spark):
     assert match_prefix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_odd_letters_cost_only_their_kmers(spark, pairs, rows):
+    """Against the model over all windows, less those with another letter."""
+    at = lambda s, i: s[:i] + "N" + s[i + 1 :]
+    odd = [(n, at(f, len(f) // 2) if i % 3 == 0 else f, at(r, 2) if i % 4 == 0 else r, c) for i, (n, f, r, c) in enumerate(pairs)]
+    df = spark.createDataFrame(odd, SCHEMA)
+    kept = usable_nodes(df.withColumnsRenamed({"seq_f": "read_f", "seq_r": "read_r"}), K, odd="keep")
+    assert rows(kept) == sorted(odd)
+    clean = [(n, w, t, o, a) for n, f, r, _ in odd for w, t, o, a in occurrences(f, r) if "N" not in w]
+    assert {tuple(r) for r in kmers(kept, K).select("id", "kmer", "edge_type", "overlap", F.col("is_anchor").cast("int")).collect()} == set(clean)
+    by = {}
+    for n, w, t, o, a in clean:
+        by.setdefault(w, []).append((n, t, o, a))
+    want = {(x[0], x[1], y[0], y[2]) for g in by.values() for x in g if x[3] for y in g if x[0] != y[0]}
+    assert {tuple(r) for r in match_prefix(kept, K, "full").collect()} == want
+    half = [w for _, f, r, _ in odd for s in (f, r) for i in range(len(s) - K + 1) for w in [s[i : i + K]]]
+    assert rows(kmer_counts(kept, K)) == [("kmers_kept", sum("N" not in w for w in half)), ("kmers_omitted", sum("N" in w for w in half))]
+    block = "\n".join(["@a/1", "ACNG" * 9, "+", "#", "@a/2", "ACGT" * 9, "+", "#"])
+    assert rows(prepare_reads(spark.createDataFrame([(block,)], "fields_txt string"), odd="keep")) == [("a", "ACNG" * 9, "ACGT" * 9, 2.0)]
