@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import clean_id, trim_n
+from strandloom.sources import structural
 
 K = 21
 #: Coverage that a pair starts with.
@@ -61,6 +62,48 @@ def read_metrics(blocks: DataFrame, text: str = "fields_txt", k: int = K) -> Dat
     return one.unpivot([], names, "counter", "n")
 
 
+def judged_deliveries(blocks: DataFrame, k: int = K, trim_mode: str = "keep", odd: str = "keep") -> DataFrame:
+    """``(block_no, id, seq_f, seq_r, verdict, odd_f, odd_r)`` of all blocks ``(block_no, form,
+    fields_txt, tag)`` of both forms: eight lines, or the five values of a csv record, go
+    through the same cleaning. Marks, qualities and tags are not looked at, as in the
+    reference's own rule for lines. ``verdict`` is the reason of ``load_blocks`` for blocks
+    without such values, else as in ``judged``."""
+    t = structural.load_blocks(blocks, shape_only=True)
+    r = t.select("block_no", "reason", F.col("name").alias("id"), *(trim_n(F.upper(c), trim_mode).alias(c) for c in ("seq_f", "seq_r")))
+    dna_f, dna_r = (F.coalesce(F.col(c).rlike("[^ACGT]"), F.lit(False)) for c in ("seq_f", "seq_r"))
+    verdict = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.least(F.length("seq_f"), F.length("seq_r")) <= k, "very_reads_short")
+        .when((dna_f | dna_r) & F.lit(odd == "drop"), "reads_non_dna")
+        .otherwise("reads_good")
+    )
+    return r.select("block_no", "id", "seq_f", "seq_r", verdict.alias("verdict"), dna_f.alias("odd_f"), dna_r.alias("odd_r"))
+
+
+def prepare_deliveries(blocks: DataFrame, k: int = K, trim_mode: str = "keep", odd: str = "keep") -> DataFrame:
+    """``prepare_reads`` over blocks of both forms."""
+    good = judged_deliveries(blocks, k, trim_mode, odd).where("verdict = 'reads_good'")
+    return good.select("id", "seq_f", "seq_r", F.lit(FIRST_COV).cast("float").alias("cov"))
+
+
+def delivery_metrics(blocks: DataFrame, k: int = K, odd: str = "keep") -> DataFrame:
+    """``(counter, n)``: how many blocks got each verdict, and the mates with odd letters."""
+    j = judged_deliveries(blocks, k, odd=odd)
+    mates = F.array(*(F.when(F.col(f"odd_{m}"), f"{m}_reads_with_non_dna_characters") for m in "fr"))
+    counters = j.select(F.explode(F.array_compact(F.concat(F.array("verdict"), mates))).alias("counter"))
+    return counters.groupBy("counter").agg(F.count("*").alias("n"))
+
+
+def first_value(text: str = "fields_txt", form: str = "form") -> Column:
+    """The header of a block: its first line, or the first value of a csv record; null
+    where that value is not closed."""
+    c = F.coalesce(text, F.lit(""))
+    head = F.regexp_extract(F.regexp_replace(c, "[\r\n]+$", ""), r'^("[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)(?:,|\z)', 1)
+    closed = F.regexp_replace(c, "[\r\n]+$", "").rlike(r'^("[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)(?:,|\z)')
+    bare = F.when(head.startswith('"'), F.replace(F.substring(head, F.lit(2), F.length(head) - 2), F.lit('""'), F.lit('"'))).otherwise(head)
+    return F.when(F.col(form) == "csv", F.when(closed, bare)).otherwise(F.get(split_block(c), F.lit(0)))
+
+
 def observed(df: DataFrame, name: str = "reads"):
     """The same rows and an Observation of their number, filled when they are first used."""
     from pyspark.sql import Observation

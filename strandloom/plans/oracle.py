@@ -65,6 +65,22 @@ _PREP = f"""
             when regexp_matches(seq_f, '[^ACGT]') or regexp_matches(seq_r, '[^ACGT]') then 'reads_non_dna' else 'reads_good' end as verdict
         from clean)"""
 
+# the blocks of both forms, cleaned; pairs with odd letters stay
+_HEAD = r"""^("(?:[^"]|"")*"|[^",\r\n]*)(?:,|$)"""
+_PREP_ALL = f"""{_BLOCKS},
+    bare as (
+        select block_no, case when blank then 'empty' when form = 'lines' then case when len(l) <> 8 then 'arity' end
+                when form = 'csv' then case when c is null then 'quoting' when len(c) <> 5 then 'arity' end else 'form' end as fault,
+            case when form = 'lines' then [l[1], l[2], l[6]]
+                else list_transform([c[1], c[2], c[4]], lambda x: case when left(x, 1) = '"' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end) end as w
+        from cut),
+    tidy as (
+        select block_no, fault, replace(replace(translate(w[1], ' :#-', '____'), '@', ''), '/1', '') as id,
+            {_trim('upper(w[2])')} as seq_f, {_trim('upper(w[3])')} as seq_r from bare),
+    ruled as (
+        select *, case when fault is not null then fault when least(length(seq_f), length(seq_r)) <= 21 then 'very_reads_short' else 'reads_good' end as verdict
+        from tidy)"""
+
 _MATES = """
     m as (
         select read_no, 'f' as mate, upper(seq_f) as s from read_pairs where seq_f is not null
@@ -222,6 +238,17 @@ def oracle_sql() -> dict[str, str]:
             union all select 'very_reads_short', count(*) from judged where verdict = 'very_reads_short'
             union all select 'reads_good', count(*) from judged where verdict = 'reads_good'""",
         "normalize_ids": f"with {_PREP} select block_no, id from clean",
+        "prep_reads_all": f"with {_PREP_ALL} select id, seq_f, seq_r, cast(2.0 as float) as cov from ruled where verdict = 'reads_good'",
+        "prep_rejects_all": f"with {_PREP_ALL} select block_no, verdict from ruled where verdict <> 'reads_good'",
+        "prep_metrics_all": f"""with {_PREP_ALL} select verdict as counter, count(*) as n from ruled group by 1
+            union all select 'f_reads_with_non_dna_characters', count(*) from ruled where fault is null and regexp_matches(seq_f, '[^ACGT]') having count(*) > 0
+            union all select 'r_reads_with_non_dna_characters', count(*) from ruled where fault is null and regexp_matches(seq_r, '[^ACGT]') having count(*) > 0""",
+        "normalize_ids_all": f"""with {_BLOCKS},
+            h as (
+                select block_no, form, case when form = 'csv' then case when regexp_matches(coalesce(rec, ''), '{_HEAD}') then regexp_extract(coalesce(rec, ''), '{_HEAD}', 1) end
+                    else coalesce(regexp_replace(string_split(regexp_replace(coalesce(fields_txt, ''), '[\\r\\n]+$', ''), chr(10))[1], '\\r$', ''), '') end as x from raw),
+            b as (select block_no, case when form = 'csv' and left(x, 1) = '"' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end as x from h)
+            select block_no, replace(replace(translate(x, ' :#-', '____'), '@', ''), '/1', '') as id from b""",
         "revcomp": f"with {_MATES} select read_no, mate, {_rc('s')} as rc from m",
         "trim_n": f"with {_MATES} select read_no, mate, {_trim('s')} as trimmed from m",
         "trim_n_clean": f"with {_MATES} select read_no, mate, regexp_replace(regexp_replace(s, 'N+$', ''), '^N+', '') as trimmed from m",

@@ -101,6 +101,29 @@ def normalize_ids(spark: SparkSession, at: str) -> DataFrame:
     return read(spark, at, "raw_blocks").select("block_no", dna.clean_id(first).alias("id"))
 
 
+# the same over the deliveries of both forms; pairs with odd letters stay
+
+
+@query
+def prep_reads_all(spark: SparkSession, at: str) -> DataFrame:
+    return reads.prepare_deliveries(read(spark, at, "raw_blocks"))
+
+
+@query
+def prep_rejects_all(spark: SparkSession, at: str) -> DataFrame:
+    return reads.judged_deliveries(read(spark, at, "raw_blocks")).where("verdict != 'reads_good'").select("block_no", "verdict")
+
+
+@query
+def prep_metrics_all(spark: SparkSession, at: str) -> DataFrame:
+    return reads.delivery_metrics(read(spark, at, "raw_blocks"))
+
+
+@query
+def normalize_ids_all(spark: SparkSession, at: str) -> DataFrame:
+    return read(spark, at, "raw_blocks").select("block_no", dna.clean_id(reads.first_value()).alias("id"))
+
+
 @query
 def fastq_scan(spark: SparkSession, at: str) -> DataFrame:
     """The loaded pairs, written as FASTQ and read again through the source, in many splits."""

@@ -22,6 +22,8 @@ SCHEMA = "block_no long, reason string, name string, seq_f string, qual_f string
 BATCH_ROWS = 4096
 #: Reasons in the order in which they are looked for.
 REASONS = ("empty", "form", "arity", "header", "separator", "mate", "quoting", "bases", "quality", "tag")
+#: Those without which a block has no values.
+SHAPE = ("empty", "form", "arity", "quoting")
 
 LF, CR, QUOTE, COMMA = 10, 13, 34, 44
 _BLANK, _BASES, _QUALITY = (np.zeros(256, bool) for _ in range(3))
@@ -102,13 +104,15 @@ def _clean(names: pa.Array) -> pa.Array:
     return names
 
 
-def _index(t: pa.Table) -> pa.Table:
+def _index(t: pa.Table, shape_only: bool = False) -> pa.Table:
     data, offsets = flat(t["fields_txt"])
     start, end = offsets[:-1], offsets[1:]
     n = t.num_rows
     reason = np.zeros(n, np.int64)  # 0 is well formed, else 1 + its place in REASONS
 
     def fail(which: np.ndarray, why: str) -> None:
+        if shape_only and why not in SHAPE:
+            return
         reason[which & (reason == 0)] = 1 + REASONS.index(why)
 
     blank = _before(~_BLANK[data])
@@ -174,7 +178,12 @@ def _run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _index(t).to_batches()
 
 
-def load_blocks(blocks: DataFrame) -> DataFrame:
+def _run_shape(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in chunks(batches, BATCH_ROWS):
+        yield from _index(t, shape_only=True).to_batches()
+
+
+def load_blocks(blocks: DataFrame, shape_only: bool = False) -> DataFrame:
     """Every block of ``(block_no, form, fields_txt, tag)`` as one row: either
     ``reason`` is null and name, bases and qualities hold its values, or ``reason``
     is the first fault found and they are null.
@@ -182,13 +191,14 @@ def load_blocks(blocks: DataFrame) -> DataFrame:
     Null or blank text is ``empty``; a form other than lines and csv is ``form``;
     a null tag is a ``tag`` fault; a block delivered twice gives two rows; an
     empty table gives none; other columns are ignored. Values are byte ranges of
-    any length. One pass without a shuffle.
+    any length. One pass without a shuffle. With ``shape_only`` only the faults of SHAPE
+    count: eight lines or five values are enough, whatever they hold.
     """
     t = blocks.select(
         F.col("block_no").cast("long").alias("block_no"), F.col("form").cast("string").alias("form"),
         F.col("fields_txt").cast("string").alias("fields_txt"), F.col("tag").cast("string").alias("tag"),
     )
-    return t.mapInArrow(_run, SCHEMA)
+    return t.mapInArrow(_run_shape if shape_only else _run, SCHEMA)
 
 
 def rejected(blocks: DataFrame) -> DataFrame:

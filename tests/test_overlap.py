@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators.overlap import cap_frequency, degree, kmer_counts, kmers, match_prefix, remove_mirrors, to_digraph
-from strandloom.operators.reads import judged, prepare_reads, usable_nodes
+from strandloom.operators.reads import delivery_metrics, first_value, judged, judged_deliveries, prepare_deliveries, prepare_reads, usable_nodes
 
 SCHEMA = "id string, seq_f string, seq_r string, cov float"
 K = 9
@@ -121,3 +121,20 @@ def test_odd_letters_cost_only_their_kmers(spark, pairs, rows):
     assert rows(kmer_counts(kept, K)) == [("kmers_kept", sum("N" not in w for w in half)), ("kmers_omitted", sum("N" in w for w in half))]
     block = "\n".join(["@a/1", "ACNG" * 9, "+", "#", "@a/2", "ACGT" * 9, "+", "#"])
     assert rows(prepare_reads(spark.createDataFrame([(block,)], "fields_txt string"), odd="keep")) == [("a", "ACNG" * 9, "ACGT" * 9, 2.0)]
+
+
+def test_cleaning_of_both_forms(spark, rows):
+    good, n = "acgt" * 6, "ACNG" * 9
+    lines = "\n".join(["@a:1/1", good, "+", "#", "@a:1/2", n, "+", "#"])
+    src = [
+        ("lines", lines), ("csv", f"@b:1/1,{good},#,{n},#\r\n"), ("csv", f'"@c,""1/1","{good}","#,",{good},#'), ("csv", f"d,{good},#,ACGT,#"),
+        ("csv", f"e,{good},#,{good}"), ("csv", f'"f,{good},#,{good},#'), ("lines", f"g,{good},#,{good},#"), ("csv", None), ("tsv", f"i,{good},#,{good},#"),
+    ]
+    df = spark.createDataFrame([(i, f, t, "other tag") for i, (f, t) in enumerate(src)], "block_no long, form string, fields_txt string, tag string")
+    up = good.upper()
+    assert rows(prepare_deliveries(df)) == [("a_1", up, n, 2.0), ("b_1", up, n, 2.0), ('c,"1', up, up, 2.0)]
+    assert rows(prepare_deliveries(df.where("block_no = 0"))) == rows(prepare_reads(df.where("block_no = 0"), odd="keep"))
+    verdicts = ["reads_good"] * 3 + ["very_reads_short", "arity", "quoting", "arity", "empty", "form"]
+    assert [r["verdict"] for r in sorted(judged_deliveries(df).collect(), key=lambda r: r["block_no"])] == verdicts
+    assert dict(rows(delivery_metrics(df)))["r_reads_with_non_dna_characters"] == 2
+    assert [r[0] for r in df.where("form != 'tsv'").orderBy("block_no").select(first_value()).collect()] == ["@a:1/1", "@b:1/1", '@c,"1/1', "d", "e", None, f"g,{good},#,{good},#", ""]
