@@ -219,6 +219,14 @@ def _encoded(x: str) -> str:
             else {pair(f'substr({four}, 1, 2)')} || case when length({four}) > 2 then {pair(f'substr({four}, 3, 2)')} else '' end end), '')"""
 
 
+# all ids of nodes, with any reads or none
+_MSG_ALL = f"""{_MSG},
+    every as (select id, read_f as f, read_r as r, min(cov) as cov from nodes where id is not null group by 1, 2, 3),
+    a as (
+        select id, case when f is not null or r is not null then coalesce({_encoded('f')}, '') || '!' || coalesce({_encoded('r')}, '') end as s,
+            case when cov is not null then printf('%.2f', cov) end as v from every)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """tests compare find_tails and the FASTQ source with models of their own, too."""
     found = {
@@ -339,6 +347,13 @@ def oracle_sql() -> dict[str, str]:
             select u.id, {_encoded('f')} || '!' || {_encoded('r')} as s, printf('%.2f', cov) as v, cast(coalesce(n_ff, 0) as integer) as n_ff from u left join wide on wide.id = u.id where cov is not null""",
         "node_parse_only": f"""with {_MSG}
             select id, edge_type as code, replace(l, chr(9), ',') as list from lists where edge_type in ('ff', 'rr') and id in (select id from u where cov is not null)""",
+        "node_message_all": f"""with {_MSG_ALL}
+            select a.id, a.id || chr(9) || 'N' || coalesce(chr(9) || '*s' || chr(9) || s, '') || coalesce(chr(9) || '*v' || chr(9) || v, '')
+                || {" || ".join(f"coalesce(chr(9) || '*{t}' || chr(9) || {t}_, '')" for t in ('ff', 'fe', 'fr', 'ef', 'rr', 're', 'rf', 'er'))} as line
+            from a left join wide on wide.id = a.id""",
+        "node_parse_all": f"with {_MSG_ALL} select a.id, s, v, cast(coalesce(n_ff, 0) as integer) as n_ff from a left join wide on wide.id = a.id",
+        "node_parse_only_all": f"""with {_MSG_ALL}
+            select a.id, edge_type as code, replace(l, chr(9), ',') as list from a join lists on lists.id = a.id where edge_type in ('ff', 'rr')""",
         "consensus_majority": _consensus(
             "case when items >= 3 and w12 <= 2 then len3 else len2 end",
             "case when 2 * a > total then 'A' when 2 * t > total then 'T' when 2 * c > total then 'C' when 2 * g > total then 'G' else 'N' end",

@@ -403,27 +403,54 @@ def is_gray(spark: SparkSession, at: str) -> DataFrame:
     return edges.is_gray(_ids(spark, at), _edges(spark, at), _black(spark, at), _gray(spark, at))
 
 
+def _edge_maps(spark, at) -> DataFrame:
+    lists = edges.merged_lists(_edges(spark, at)).withColumnRenamed("src", "id")
+    return lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "links"))).alias("edges"))
+
+
 @query
 def node_message(spark: SparkSession, at: str) -> DataFrame:
-    n = _nodes(spark, at)
-    lists = edges.merged_lists(_edges(spark, at)).withColumnRenamed("src", "id")
-    maps = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "links"))).alias("edges"))
-    return nodemsg.node_lines(n.where("cov is not null").join(maps, "id", "left"))
+    return nodemsg.node_lines(_nodes(spark, at).where("cov is not null").join(_edge_maps(spark, at), "id", "left"))
 
 
 @query
 def node_parse(spark: SparkSession, at: str) -> DataFrame:
     """Nodes written as lines, read again: id, encoded pair, coverage, number of ff edges."""
-    p = nodemsg.parse_node_lines(node_message(spark, at))
+    return _parsed(node_message(spark, at))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    p = nodemsg.parse_node_lines(lines)
     return p.select("id", F.col("fields")["s"][0].alias("s"), F.col("fields")["v"][0].alias("v"), F.greatest(F.size(F.coalesce(F.try_element_at("fields", F.lit("ff")), F.array())), F.lit(0)).alias("n_ff"))
 
 
 @query
 def node_parse_only(spark: SparkSession, at: str) -> DataFrame:
-    p = nodemsg.parse_node_lines(node_message(spark, at), only=["ff", "rr"])
+    return _parsed_lists(node_message(spark, at))
+
+
+def _parsed_lists(lines: DataFrame) -> DataFrame:
+    p = nodemsg.parse_node_lines(lines, only=["ff", "rr"])
     return p.select("id", F.explode("fields").alias("code", "values")).select("id", "code", F.array_join("values", ",").alias("list"))
 
 
+@query
+def node_message_all(spark: SparkSession, at: str) -> DataFrame:
+    """Lines of all ids of nodes, with any reads or none: one for each content of an id."""
+    n = read(spark, at, "nodes").where("id is not null").groupBy("id", F.col("read_f").alias("seq_f"), F.col("read_r").alias("seq_r")).agg(F.min("cov").alias("cov"))
+    return nodemsg.node_lines(n.join(_edge_maps(spark, at), "id", "left"))
+
+
+@query
+def node_parse_all(spark: SparkSession, at: str) -> DataFrame:
+    return _parsed(node_message_all(spark, at))
+
+
+@query
+def node_parse_only_all(spark: SparkSession, at: str) -> DataFrame:
+    return _parsed_lists(node_message_all(spark, at))
+
+
 # consensus and chains
 
 

@@ -19,10 +19,15 @@ LIST_FIELDS = (
 def node_lines(nodes: DataFrame) -> DataFrame:
     """``(id, line)`` of nodes ``(id, seq_f, seq_r, cov)`` with any of the columns of
     LIST_FIELDS and an ``edges`` map from type to list. Absent and null columns and
-    empty lists are not written. An id or value with a tab, or a value that begins
+    empty lists are not written, nor are *s without either read and *v without a coverage;
+    one null read of the two is written as an empty one, so the mark between them stays. An id or value with a tab, or a value that begins
     with ``*``, cannot be written and is an error."""
     have = dict(nodes.dtypes)
-    parts = [F.col("id"), F.lit("N"), F.lit("*s"), F.concat_ws("!", encode_dna("seq_f"), encode_dna("seq_r")), F.lit("*v"), two_places("cov")]
+    pair = F.concat_ws("!", *(F.coalesce(encode_dna(c), F.lit("")) for c in ("seq_f", "seq_r")))
+    parts = [
+        F.col("id"), F.lit("N"), F.when(F.col("seq_f").isNotNull() | F.col("seq_r").isNotNull(), F.concat_ws("\t", F.lit("*s"), pair)),
+        F.when(F.col("cov").isNotNull(), F.concat_ws("\t", F.lit("*v"), two_places("cov"))),
+    ]
 
     def field(code: str, values):
         bad = F.exists(values, lambda x: x.contains("\t") | x.startswith("*"))

@@ -113,3 +113,16 @@ def test_node_lines(spark):
         parse_node_lines(again).collect()
     with pytest.raises(Exception, match="cannot be written"):
         node_lines(df.withColumn("mertag", F.lit("*x"))).collect()
+
+
+def test_node_lines_without_reads_or_coverage(spark, tmp_path):
+    from strandloom.plans.queries import queries
+
+    nodes = [("a", "ACTG", None, 1.0), ("b", None, "A", 1.0), ("c", None, None, 1.0), ("d", "ACNG", "A", None), ("e", None, None, None), ("e", None, None, None)]
+    spark.createDataFrame(nodes, "id string, read_f string, read_r string, cov float").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([("e", "ff", "a", 3)], SCHEMA).write.parquet(f"{tmp_path}/edges.parquet")
+    got = sorted(r["line"].split("\t") for r in queries()["node_message_all"](spark, str(tmp_path)).collect())
+    assert got == [["a", "N", "*s", "CS!", "*v", "1.00"], ["b", "N", "*s", "!A", "*v", "1.00"], ["c", "N", "*v", "1.00"], ["d", "N", "*s", "null!A"], ["e", "N", "*ff", "a!3"]]
+    assert {tuple(r) for r in queries()["node_parse_all"](spark, str(tmp_path)).collect()} == {
+        ("a", "CS!", "1.00", 0), ("b", "!A", "1.00", 0), ("c", None, "1.00", 0), ("d", "null!A", None, 0), ("e", None, None, 1)
+    }
