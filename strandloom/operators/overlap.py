@@ -109,7 +109,8 @@ def match_prefix(reads: DataFrame, k: int = K, mode: str = "canonical", max_kmer
 
     Mode ``canonical`` joins on canonical k-mers, with half of the rows on both
     sides, and needs no removal of mirrored edges; mode ``full`` keeps both
-    strands. Ids are unique in ``reads``; AQE splits hot k-mers, and
+    strands. Rows of one id are one node: their edges are merged, and they have none
+    between them. AQE splits hot k-mers, and
     ``max_kmer_freq`` caps them where that is wanted (off by default).
     """
     t = canonical_kmers(reads, k) if mode == "canonical" else kmers(reads, k)

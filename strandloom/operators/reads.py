@@ -112,16 +112,19 @@ def observed(df: DataFrame, name: str = "reads"):
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def usable_nodes(nodes: DataFrame, k: int = K, odd: str = "drop") -> DataFrame:
-    """One row an id ``(id, seq_f, seq_r, cov)`` of the nodes whose two reads are longer
+def usable_nodes(nodes: DataFrame, k: int = K, odd: str = "drop", least: bool = False) -> DataFrame:
+    """``(id, seq_f, seq_r, cov)`` of the nodes whose two reads are longer
     than k: what the overlap stages take in. Reads with a letter other than A, C, G, T
     stay with ``odd`` "keep" (the k-mers that hold one are left out later); "drop" leaves
-    out the whole pair. Nodes with reads in a column ``contained`` are left out, where
+    out the whole pair. Exact copies are dropped; an id with several contents has a row for
+    each, or with ``least`` only for the smallest of them. Nodes with reads in a column ``contained`` are left out, where
     there is one."""
     if "contained" in nodes.columns:
         nodes = nodes.where(F.col("contained").isNull())
     ok = nodes.where(F.col("id").isNotNull() & (F.length("read_f") > k) & (F.length("read_r") > k))
     if odd == "drop":
         ok = ok.where(~F.col("read_f").rlike("[^ACGT]") & ~F.col("read_r").rlike("[^ACGT]"))
+    if not least:
+        return ok.groupBy("id", F.col("read_f").alias("seq_f"), F.col("read_r").alias("seq_r")).agg(F.min("cov").alias("cov"))
     first = ok.groupBy("id").agg(F.min(F.struct("read_f", "read_r")).alias("s"), F.min("cov").alias("cov"))
     return first.select("id", F.col("s.read_f").alias("seq_f"), F.col("s.read_r").alias("seq_r"), "cov")

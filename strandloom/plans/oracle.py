@@ -129,9 +129,9 @@ _CANON = f"""{_KMERS},
 # the same over all pairs; k-mers with another letter are left out
 _NODES_ALL = """
     n as (
-        select id, min(struct_pack(f := read_f, r := read_r)) as s, min(cov) as cov from nodes
-        where id is not null and length(read_f) > 21 and length(read_r) > 21 group by id),
-    u as (select id, s.f as f, s.r as r, cov, length(s.f) as lf, length(s.r) as lr from n)"""
+        select id, read_f as f, read_r as r, min(cov) as cov from nodes
+        where id is not null and length(read_f) > 21 and length(read_r) > 21 group by 1, 2, 3),
+    u as (select id, f, r, cov, length(f) as lf, length(r) as lr from n)"""
 
 _KMERS_ALL = f"""{_KMERS.replace(_NODES, _NODES_ALL)},
     kmers_all as (select * from kmers where regexp_full_match(kmer, '[ACGT]{{21}}')),

@@ -23,8 +23,9 @@ def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep", odd
 
 
 def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical", max_kmer_freq: int | None = None, odd: str = "drop") -> dict[str, DataFrame]:
-    """The stages' results by name: reads, edges, digraph. Rows of one id are one node."""
-    own = clean_pairs(pairs, k, odd=odd).groupBy("id").agg(F.min(F.struct("seq_f", "seq_r", "cov")).alias("s")).select("id", "s.*")
+    """The stages' results by name: reads, edges, digraph. Rows of one id are one node,
+    which has the edges of all of them; only exact copies are dropped."""
+    own = clean_pairs(pairs, k, odd=odd).distinct()
     edges = overlap.match_prefix(own, k, mode, max_kmer_freq)
     if mode == "full":
         edges = overlap.remove_mirrors(edges)

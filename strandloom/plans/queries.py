@@ -26,7 +26,7 @@ def read(spark: SparkSession, at: str, table: str) -> DataFrame:
 
 
 def _nodes(spark, at) -> DataFrame:
-    return reads.usable_nodes(read(spark, at, "nodes"))
+    return reads.usable_nodes(read(spark, at, "nodes"), least=True)  # as their SQL has it
 
 
 def _mates(spark, at) -> DataFrame:
@@ -264,7 +264,7 @@ def mirror_removed_links(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def digraph(spark: SparkSession, at: str) -> DataFrame:
-    return overlap.digraph(read(spark, at, "nodes"))
+    return overlap.to_digraph(overlap.match_prefix(_nodes(spark, at)))
 
 
 @query

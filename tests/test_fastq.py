@@ -99,3 +99,25 @@ def test_pipeline(spark, tmp_path):
     full = assemble_graph(read, mode="full")
     edges = {tuple(r) for r in out["edges"].collect()}
     assert edges and edges == {tuple(r) for r in full["edges"].collect()} and out["digraph"].count() == len(edges)
+
+
+@pytest.mark.parametrize("mode", ["canonical", "full"])
+def test_ids_with_several_contents(spark, mode):
+    rng = random.Random(4)
+    g = ["".join(rng.choices("ACGT", k=60)) for _ in range(2)]
+    far = lambda: "".join(rng.choices("ACGT", k=30))
+    pairs = [("x/12", g[0][:40], "F", far(), "F"), ("x2", g[1][:40], "F", far(), "F"), ("a", g[0][10:50], "F", far(), "F"), ("b", g[1][10:50], "F", far(), "F")]
+    pairs += pairs[:1]
+    out = assemble_graph(spark.createDataFrame(pairs, fastq.SCHEMA), mode=mode)
+    assert out["reads"].count() == 4
+    edges = {(r["src"], r["dst"]) for r in out["edges"].collect()}
+    assert edges == {("x2", "a"), ("a", "x2"), ("x2", "b"), ("b", "x2")}
+
+
+def test_nodes_with_several_contents(spark, rows):
+    from strandloom.operators.reads import usable_nodes
+
+    s, t = "ACGT" * 6, "ACCT" * 6
+    df = spark.createDataFrame([("a", s, s, 1.0), ("a", s, t, 2.0), ("a", s, s, None)], "id string, read_f string, read_r string, cov float")
+    assert rows(usable_nodes(df)) == [("a", s, t, 2.0), ("a", s, s, 1.0)][:: 1 if t < s else -1]
+    assert len(rows(usable_nodes(df, least=True))) == 1
