@@ -83,9 +83,11 @@ def find_tails(nodes: DataFrame, edges: DataFrame, black: DataFrame | None = Non
     """
     link, _ = write_table(links(nodes, edges, black), "links")
     chains, loops = _ranks(link)
+    # on a cycle are those two steps after some state that never ends: ways in from aside are two states long at most
+    once = link.join(loops.select("s"), "s").select(F.col("t").alias("s")).distinct()
+    on_loop, _ = write_table(link.join(once, "s").select(F.col("t").alias("s")).distinct().join(loops, "s"), "cycles")
     # a cycle is cut before its smallest state and ranked as a chain that starts there
-    cut = link.join(loops, "s").where("t != least")
-    on_loop = link.join(loops, "s").select(F.col("t").alias("s"), "least").distinct()  # those with a way in along the cycle
+    cut = link.join(on_loop, "s").where("t != least")
     cut_ranks, _ = _ranks(cut.select("s", "t", "oval_size"))
     none = F.lit(0).cast("long")
     ring = on_loop.join(cut_ranks, "s", "left").select("s", F.col("least").alias("line"), F.coalesce("steps", none).alias("to_end"))
@@ -111,13 +113,18 @@ def find_tails(nodes: DataFrame, edges: DataFrame, black: DataFrame | None = Non
     walk = place.join(stops, "s", "left")
     last = F.when(F.col("size") > 0, F.col("pos") + F.col("size")).otherwise(F.lit(1).cast("long"))  # one beyond the end
     walk = walk.withColumn("goal", F.least(F.coalesce("stop", last), last) - 1)
+    # a state that leads into a cycle without lying on it walks on as its target does, but stops before its own
+    # node, which lies on the cycle just before the target
+    aside = link.join(place, "s", "left_anti").select("s", "t", "oval_size")
+    led = walk.where("size > 0").select(F.col("s").alias("t"), "line", (F.col("pos") - 1).alias("pos"), "size", F.least("goal", F.col("pos") + F.col("size") - 2).alias("goal"))
+    walk = walk.select("s", "line", "pos", "size", "goal").unionByName(aside.select("s", "t").join(led, "t").drop("t"))
     walk = walk.select("s", "line", F.when(F.col("size") > 0, F.pmod("goal", "size")).otherwise(F.col("goal")).alias("at"), (F.col("goal") - F.col("pos")).alias("dist"))
     entered = link.groupBy(F.col("t").alias("s")).agg(F.min("oval_size").alias("in_size"))
     target = place.join(entered, "s").select(F.col("s").alias("goal"), "line", F.col("pos").alias("at"), "in_size")
     got = walk.where("dist > 0").join(target, ["line", "at"]).join(link.select("s", F.col("oval_size").alias("own")), "s")
     got = got.select("s", "goal", "dist", F.when(F.col("dist") == 1, F.col("own")).otherwise(F.col("in_size")).alias("oval_size"))
-    # a state that leads into a cycle without lying on it stops after one step
-    aside = link.join(place, "s", "left_anti").select("s", F.col("t").alias("goal"), F.lit(1).cast("long").alias("dist"), "oval_size")
+    # one that leads to such a state (the cycle then has two nodes, both passed) stops after one step
+    aside = aside.join(place.select(F.col("s").alias("t")), "t", "left_anti").select("s", F.col("t").alias("goal"), F.lit(1).cast("long").alias("dist"), "oval_size")
     moved = got.unionByName(aside)
     every = nodes.select("id").distinct().select("id", F.explode(F.array(F.lit("f"), F.lit("r"))).alias("dir")).withColumn("s", _state("id", "dir"))
     out = every.join(moved, "s", "left").withColumn("goal", F.coalesce("goal", "s"))

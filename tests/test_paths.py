@@ -92,3 +92,23 @@ def test_no_edges(spark, rows):
     n = spark.createDataFrame([("a",)], "id string")
     assert rows(find_tails(n, spark.createDataFrame([], EDGES))) == [("a", "f", "a", "r", 0, 0), ("a", "r", "a", "f", 0, 0)]
     assert tails(spark.createDataFrame([], EDGES)).collect() == []
+
+
+def test_ways_into_a_cycle(spark):
+    """A cycle entered from aside that has a third node, and many small graphs of one-sided links."""
+    edges = [("A", "ff", "P", 1), ("A", "rf", "P", 2), ("P", "rr", "A", 3), ("P", "ff", "U", 4), ("U", "rf", "P", 5), ("U", "fr", "P", 6)]
+    edges += [("Z", "ff", "Z", 1), ("Z", "rf", "Z", 2)]  # into a cycle of the same node
+    rng = random.Random(8)
+    for g in range(1500):
+        own = [f"g{g}n{i}" for i in range(rng.choice([1, 2, 3, 4]))]
+        for x in own:
+            for d in "fr":
+                if rng.random() < 0.9:
+                    edges.append((x, d + rng.choice("fr"), rng.choice(own), rng.randrange(20, 60)))
+    nodes = nodes_of(edges)
+    got = find_tails(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, EDGES))
+    rows = [tuple(r) for r in got.collect()]
+    want = walk_all(nodes, edges, [])
+    assert ("A", "f", "U", "r", 2, 4) in rows
+    assert len(rows) == 2 * len(nodes)
+    assert set(rows) == want
