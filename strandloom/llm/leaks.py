@@ -122,10 +122,10 @@ def leaks(
     The items are indexed in parts of at most about ``index_bytes`` of text, each
     of which goes over the corpus once, so what is sent along with the tasks is
     bounded whatever the items hold. Null and shorter texts leak nothing, nor do
-    rows without an id; repeated rows give one pair; empty tables give none.
+    rows without an id; repeated rows are indexed once and give one pair; empty tables give none.
     """
     t = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text is not null")
-    parts = items.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
+    parts = items.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     total = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // index_bytes) or 1
     found = None

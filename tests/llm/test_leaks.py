@@ -54,3 +54,15 @@ def test_long_text_and_lanes(spark, rows):
 def test_empty(spark):
     d, q = frames(spark, [(1, "a b c")], [(1, "a b c")])
     assert leaks(d.limit(0), q).collect() == leaks(d, q.limit(0)).collect() == leaks(d, q).collect() == []
+
+
+def test_repeated_items_are_fetched_once(spark, rows, monkeypatch):
+    from strandloom.llm import leaks as module
+
+    fetched = []
+    index = module.Index
+    monkeypatch.setattr(module, "Index", lambda items, run: fetched.append(items) or index(items, run))
+    d, q = frames(spark, [(1, "a b c d e")], [(7, "a b c d e")] * 200 + [(i, f"x{i} y z") for i in range(20)])
+    assert rows(leaks(d, q, run=3, index_bytes=100)) == [(1, 7)]
+    every = [tuple(x) for part in fetched for x in part]
+    assert len(every) == len(set(every)) == 21
