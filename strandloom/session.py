@@ -27,19 +27,19 @@ def local_session(cpus: int | str = 8, app: str = "strandloom") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: what ``spark.checkpoint.dir`` names.
+    """The folder for intermediate tables: what ``spark.checkpoint.dir`` names, else the
+    checkpoint folder that the session was given in code.
 
-    Only a local session without that setting gets a folder of its own; a
-    cluster session without it is refused, because a machine-local folder
-    would be lost with the machine.
+    Only a local session with neither gets a folder of its own; a cluster session
+    is refused then, because a machine-local folder would be lost with the machine.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -56,13 +56,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage,
-    and a lost executor costs no more than the reading of the files."""
+    and a lost executor costs no more than the reading of the files. The folder
+    goes when the driver ends, unless ``drop_table`` was there first."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Marks a written folder for deletion when the driver ends."""
+    fs, p = _fs_path(spark, path)
+    fs.deleteOnExit(p)
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _fs_path(spark, path)

@@ -2,8 +2,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from strandloom.operators.skew import salted_lookup
-from strandloom.operators.tree import prefix_stats, tree_aggregate
+from strandloom.operators.skew import hot_keys, salted_lookup
+from strandloom.operators.tree import fan_in_pairs, prefix_stats, tree_aggregate
 
 
 def model(rows):
@@ -59,3 +59,23 @@ def test_chunks_are_bounded_by_rows_and_bytes():
     assert [x for p in parts for x in p["t"].to_pylist()] == texts
     assert all(p.num_rows <= 100 and p.nbytes <= 8000 for p in parts)
     assert list(chunks([], 5)) == []
+
+
+def test_one_key_with_one_member_in_many_chunks(spark, rows):
+    # 900 chunks of 4 rows, all of one key: two thirds of one member, the rest without any but for a few
+    src = [("hot", ("m", "m", None, f"x{i % 5}" if i % 40 == 3 else "m")[i % 4], i) for i in range(3600)] + [("k", "m", 1)]
+    df = spark.createDataFrame(src, "key string, member string, measure int").repartition(7)
+    assert rows(tree_aggregate(df, "key", "member", "measure", chunk_rows=4, fan_in=3, share=10)) == model(src)
+
+
+def test_fan_in_takes_few_states(spark):
+    states = spark.range(1000).select(F.lit("k").alias("key"), F.lit(None).cast("string").alias("member"), F.lit(2).cast("long").alias("n_rows"), F.col("id").alias("largest"), F.col("id").alias("chunk"))
+    per = states.groupBy("key", "member", F.expr("chunk div 8")).count()
+    assert per.agg(F.max("count")).first()[0] == 8
+    assert [tuple(r) for r in fan_in_pairs(states, 1000, 8).collect()] == [("k", None, 2000, 999)]
+    assert [tuple(r) for r in fan_in_pairs(states.where("chunk = 0"), 1, 8).collect()] == [("k", None, 2, 0)]
+
+
+def test_hot_keys_are_few_by_arithmetic(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise(F.col("id").cast("string")).alias("k"))
+    assert len(hot_keys(df, "k")) == 1 and hot_keys(df, "k", share=1) == [] and hot_keys(df.where("false"), "k") == []
