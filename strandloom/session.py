@@ -75,3 +75,29 @@ def drop_table(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _fs_path(spark, path)
         fs.delete(p, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file so that it is there whole or not at all."""
+    fs, p = _fs_path(spark, path)
+    _, draft = _fs_path(spark, path + ".draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not fs.rename(draft, p):
+        raise OSError(f"cannot write {path}")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs_path(spark, path)
+    got = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(got, "UTF-8")
+    finally:
+        got.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, none if it does not exist."""
+    fs, p = _fs_path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
