@@ -17,8 +17,8 @@ def _read(spark: SparkSession, at: str, table: str) -> DataFrame:
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
     """Counts of the terms of ``nodes``, built from two deliveries of the table."""
     counts = terms.TermCounts(spark, k=21)
-    for state in terms.deliveries(_read(spark, at, "nodes"), "loaded_at"):
-        counts.apply(terms.records(state, "id", ["read_f", "read_r"]))
+    for changed in terms.deliveries(_read(spark, at, "nodes"), "loaded_at", "id"):
+        counts.apply(changed)
     return counts.spelled(counts.counts().where("n_records >= 2")).select("term", "n_total", "n_records", "mark")
 
 
@@ -29,7 +29,7 @@ def p1_revised(spark: SparkSession, at: str) -> DataFrame:
     revised = nodes.where("cov is not null").withColumns({c: F.substring_index(c, "N", 1) for c in ("read_f", "read_r")})
     counts = terms.TermCounts(spark, k=21)
     for state in (nodes, revised):
-        counts.apply(terms.records(state, "id", ["read_f", "read_r"]))
+        counts.apply_snapshot(state)
     return counts.spelled(counts.counts().where("n_records >= 2")).select("term", "n_total", "n_records", "mark")
 
 
@@ -95,7 +95,7 @@ _SIMILAR = f"""{_PAIRS},
         select ra, rb from common join sizes p on p.rep = ra join sizes q on q.rep = rb where 10 * c >= 6 * (p.n + q.n - c))"""
 
 _TERMS = """
-    reads as (select id, read_f as t from r union all select id, read_r from r),
+    reads as (select id, 0 as mate, read_f as t from r union select id, 1, read_r from r),
     terms as (
         select id, substr(t, cast(i as bigint), 21) as term
         from (select id, t, unnest(range(1, length(t) - 19)) as i from reads where length(t) >= 21)),
@@ -139,14 +139,14 @@ def oracle_sql() -> dict[str, str]:
             select n as nodeid, min(m) as group_id from reach group by n""",
         "p7_found": """
             with r as (select distinct id, read_f, read_r from nodes where id is not null),
-            reads as (select id, 0 as mate, read_f as t from r union all select id, 1, read_r from r),
+            reads as (select id, 0 as mate, read_f as t from r union select id, 1, read_r from r),
             w as (
-                select id, mate, i, substr(t, cast(i as bigint), 40) as s
+                select id, mate, t, i, substr(t, cast(i as bigint), 40) as s
                 from (select id, mate, t, unnest(range(1, length(t) - 38)) as i from reads where length(t) >= 40)),
             good as (select * from w where not regexp_matches(s, '[^ACGT]')),
             twice as (select s from good group by s having min(id) < max(id)),
-            hit as (select id, mate, i from good join twice using (s))
-            select id, count(*) as shared_bases from (select distinct id, mate, unnest(range(i, i + 40)) as p from hit) group by id""",
+            hit as (select id, mate, t, i from good join twice using (s))
+            select id, count(*) as shared_bases from (select distinct id, mate, t, unnest(range(i, i + 40)) as p from hit) group by id""",
         "p9_found": """
             with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null),
             q as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from eval_items where text is not null),

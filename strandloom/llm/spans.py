@@ -5,8 +5,9 @@ right symbol, get a name. A name is a hash of what it stands for and a symbol's
 side is a bit of its name, so all tasks give equal content equal names without
 an exchange. Each symbol carries the stretch of letters that settles it: within
 any window that holds this stretch the same symbol stands at the same place.
-The highest symbols settled within a window stand for it; only windows whose
-symbol (with its stretch) occurs in another record are compared letter by letter.
+Of the highest symbols settled within a window the one of least hash stands for it, so
+that neighbouring windows mostly have the same and go as one fragment; equal windows
+have equal names, so only fragments of one name are compared, letter by letter.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.vectors import BASE, chunks, codes, flat, owners, slices
-from strandloom.operators.skew import salted_lookup
+from strandloom.functions.vectors import BASE, chunks, flat, owners
+from strandloom.operators.skew import hot_keys, salted_lookup
 from strandloom.session import write_table
 
 SPAN = 40
 #: Rounds of naming; later ones rarely settle within a window of 40 letters.
 ROUNDS = 5
 CHUNK_ROWS = 1 << 12
+#: Fragments that a task compares at once; more if a name has more.
+COMPARED = 1 << 16
 _U = np.uint64
 
 
@@ -123,76 +126,160 @@ def settled(data: np.ndarray, start: np.ndarray, end: np.ndarray, span: int, rou
     value[at] = _mix(letter + _U(11))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:total])])
 
-    first = np.concatenate([np.arange(a, b - span + 1) for a, b in zip(lo, hi)])
-    # what stands for a window: at worst itself, else the highest symbol settled in it
-    name = _mix((sums[first + span] - sums[first]) * down[first])
-    s = _Symbols(_mix(letter + _U(77)), at, at, at + 1, own)
+    many = np.maximum(size - span + 1, 0)
+    begin = np.concatenate([[0], np.cumsum(many)])
+    first = np.arange(begin[-1]) - np.repeat(begin[:-1] - lo, many)
+    levels, s = [], _Symbols(_mix(letter + _U(77)), at, at, at + 1, own)
     for r in range(1, rounds + 1):
         s = _pairs(_runs(s, lo, hi), lo, hi, r)
-        ok = s.hi - s.lo <= span
+        # the windows within which each symbol is settled
+        low, high = np.maximum(s.hi - span, lo[s.own]), np.minimum(s.lo, hi[s.own] - span)
+        ok = low <= high
         if not ok.any():
             break
-        # of the symbols settled within the window the one settled first: the least
-        # hi among all whose lo is not before the window
-        slo, shi, sname, sstart = s.lo[ok], s.hi[ok], s.name[ok], s.start[ok]
-        order = np.lexsort((sstart, shi, slo))
-        slo, shi, sname, sstart = slo[order], shi[order], sname[order], sstart[order]
-        m = len(slo)
-        soonest = np.minimum.accumulate((shi * m + np.arange(m))[::-1])[::-1] % m
-        i = np.searchsorted(slo, first)
-        some = i < m
-        i = soonest[np.minimum(i, m - 1)]
-        inside = some & (shi[i] <= first + span)
-        stretch = (sums[shi[i]] - sums[slo[i]]) * down[np.maximum(slo[i], 0)]
-        full = _mix(stretch + _mix(sname[i] + (sstart[i] - slo[i]).astype(np.uint64)) + (shi[i] - slo[i]).astype(np.uint64) * _U(1 << 8) + _U(r))
-        name = np.where(inside, full, name)
-    return first - np.repeat(lo - start, np.maximum(size - span + 1, 0)), name
+        stretch = (sums[s.hi[ok]] - sums[s.lo[ok]]) * down[s.lo[ok]]
+        full = _mix(stretch + _mix(s.name[ok] + (s.start[ok] - s.lo[ok]).astype(np.uint64)) + (s.hi[ok] - s.lo[ok]).astype(np.uint64) * _U(1 << 8) + _U(r))
+        shift = (begin[:-1] - lo)[s.own[ok]]
+        levels.append((low[ok] + shift, high[ok] + shift + 1, full))
+    none = np.iinfo(np.uint64).max
+    name = np.full(len(first), none, np.uint64)
+    for low, high, full in reversed(levels):
+        open_ = np.concatenate([[0], np.cumsum(name == none)])
+        some = open_[high] > open_[low]  # a window of theirs has no higher symbol
+        low, n, full = low[some], (high - low)[some], full[some]
+        window = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        fresh = name[window] == none
+        np.minimum.at(name, window[fresh], np.repeat(full, n)[fresh])
+    bare = name == none  # at worst a window stands for itself
+    name[bare] = _mix((sums[first[bare] + span] - sums[first[bare]]) * down[first[bare]])
+    return first - np.repeat(lo - start, many), name
+
+
+def _sizes(span: int) -> tuple[int, int]:
+    """Whole numbers of 31 letters that a fragment takes, and the windows it has at most: neighbours
+    overlap, so what lies between its first and its last window lies in one of them."""
+    words = -(-(span + 22) // 31)
+    return words, min(31 * words - span + 1, span)
 
 
 def _find(span: int, rounds: int):
-    schema = pa.schema([("name", pa.int64()), ("rec", pa.int64()), ("mate", pa.int32()), ("first", pa.int32()), ("text", pa.string())])
+    """Fragments: neighbouring windows of one name, their letters packed two bits each."""
+    words, most = _sizes(span)
+    fields = [("name", pa.int64()), ("rec", pa.int64()), ("no", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]
+    schema = pa.schema(fields + [(f"t{j}", pa.int64()) for j in range(words)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK_ROWS):
-            rec = t["rec"].to_numpy()
-            for mate, column in enumerate(t.column_names[1:]):
-                data, offsets = flat(t[column])
-                start, end = _stretches(data, offsets, span)
-                if not len(start):
-                    continue
-                at, name = settled(data, start, end, span, rounds)
-                row = np.searchsorted(offsets, at, side="right") - 1
-                # neighbouring windows of the same name go as one fragment
-                head = np.concatenate([[True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
-                f = np.flatnonzero(head)
-                last = at[np.concatenate([f[1:], [len(at)]]) - 1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(name[f].view(np.int64)), pa.array(rec[row[f]]), pa.array(np.full(len(f), mate, np.int32)),
-                        pa.array((at[f] - offsets[:-1][row[f]]).astype(np.int32)), slices(data, at[f], last + span),
-                    ],
-                    schema=schema,
-                )
+            data, offsets = flat(t["text"])
+            start, end = _stretches(data, offsets, span)
+            if not len(start):
+                continue
+            at, name = settled(data, start, end, span, rounds)
+            row = np.searchsorted(offsets, at, side="right") - 1
+            head = np.concatenate([[True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
+            begin = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            f = np.flatnonzero((np.arange(len(at)) - begin) % most == 0)  # long ones are cut
+            n = np.diff(np.concatenate([f, [len(at)]]))
+            base = np.concatenate([BASE[data], np.zeros(31 * words, np.uint8)]) & 3
+            packed, inside = [], n + span - 1
+            for j in range(words):
+                code = np.zeros(len(f), np.int64)
+                for i in range(31 * j, 31 * (j + 1)):
+                    code = (code << 2) | np.where(i < inside, base[at[f] + i], 0)
+                packed.append(pa.array(code))
+            cols = [pa.array(name[f].view(np.int64)), t["rec"].combine_chunks().take(pa.array(row[f])), t["no"].combine_chunks().take(pa.array(row[f]))]
+            cols += [pa.array((at[f] - offsets[:-1][row[f]]).astype(np.int32)), pa.array(n.astype(np.int32)), *packed]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return run
+
+
+def _spelled(t: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All windows of fragments: the row, the place in it, and the letters as whole numbers."""
+    words, most = _sizes(span)
+    packed = [t[f"t{j}"].to_numpy() for j in range(words)]
+    letter = [(packed[i // 31] >> (2 * (30 - i % 31))) & 3 for i in range(31 * words)]
+    n = t["n"].to_numpy()
+    inside = np.arange(most)[None, :] < n[:, None]
+    keys = []
+    for j in range(0, span, 31):
+        size = min(31, span - j)
+        mask = (1 << 2 * size) - 1
+        code = np.zeros(len(n), np.int64)
+        for i in range(j, j + size - 1):
+            code = (code << 2) | letter[i]
+        columns = np.empty((len(n), most), np.int64)
+        for i in range(most):
+            code = ((code << 2) | letter[min(j + size - 1 + i, len(letter) - 1)]) & mask
+            columns[:, i] = code
+        keys.append(columns[inside])
+    row, place = np.nonzero(inside)
+    return row, place, keys
+
+
+INTERVALS = "rec long, no long, start int, stop int"
+
+
+def _ends(t: pa.Table, row: np.ndarray, place: np.ndarray, span: int) -> pa.RecordBatch:
+    """What lies between the first and the last shared window of each fragment; row and place ascend."""
+    f = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    last = np.concatenate([f[1:], [len(row)]]) - 1 if len(row) else row
+    first = t["first"].to_numpy()[row[f]]
+    here = pa.array(row[f])
+    cols = [t["rec"].combine_chunks().take(here), t["no"].combine_chunks().take(here)]
+    cols += [pa.array((first + place[f]).astype(np.int32)), pa.array((first + place[last] + span).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, ["rec", "no", "start", "stop"])
+
+
+def _compare(span: int):
+    """Intervals of fragments that come in the order of their names."""
+
+    def shared(t: pa.Table) -> pa.RecordBatch:
+        name, rec = t["name"].to_numpy(), t["rec"].to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        two = np.minimum.reduceat(rec, at) < np.maximum.reduceat(rec, at)  # names of one record tell nothing
+        keep = np.repeat(two, np.diff(np.concatenate([at, [len(name)]])))
+        t = t.filter(pa.array(keep))
+        row, place, keys = _spelled(t, span)
+        if not len(row):
+            return _ends(t, row, place, span)
+        order = np.lexsort(keys)
+        new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+        at = np.flatnonzero(new)
+        r = t["rec"].to_numpy()[row[order]]
+        two = np.minimum.reduceat(r, at) < np.maximum.reduceat(r, at)
+        hit = np.sort(order[np.repeat(two, np.diff(np.concatenate([at, [len(row)]])))])
+        return _ends(t, row[hit], place[hit], span)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < COMPARED:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            name = t["name"].to_numpy()
+            cut = int(np.searchsorted(name, name[-1]))  # the last name may go on
+            if cut:
+                yield shared(t.slice(0, cut).combine_chunks())
+            held, n = t.slice(cut).to_batches(), t.num_rows - cut
+        if n:
+            yield shared(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _spread_out(span: int):
-    """The windows of fragments, each as whole numbers of 31 letters of two bits."""
+def _windows_of(span: int):
+    """The windows of fragments as rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK_ROWS):
-            data, offsets = flat(t["text"])
-            n = np.diff(offsets) - span + 1
-            row = np.repeat(np.arange(len(n)), n)
-            i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            start = offsets[:-1][row] + i
-            first = t["first"].to_numpy()[row] + i
-            word = [codes(data, start + j, min(31, span - j)) for j in range(0, span, 31)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t["rec"].to_numpy()[row]), pa.array(t["mate"].to_numpy()[row]), pa.array(first.astype(np.int32)), *map(pa.array, word)],
-                ["rec", "mate", "first", *(f"w{j}" for j in range(len(word)))],
-            )
+            row, place, keys = _spelled(t, span)
+            here = pa.array(row)
+            cols = [t["rec"].combine_chunks().take(here), t["no"].combine_chunks().take(here), pa.array((t["first"].to_numpy()[row] + place).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, *map(pa.array, keys)], ["rec", "no", "first", *(f"w{j}" for j in range(len(keys)))])
 
     return run
 
@@ -203,32 +290,52 @@ def _in_two(df: DataFrame, *keys: str) -> DataFrame:
     return ends.where("_a < _b").select(*keys)
 
 
-def shared_windows(reads: DataFrame, span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
-    """``(rec, mate, first)``: the windows of ``span`` letters that occur verbatim in
-    another record. ``reads`` holds a number ``rec`` of the record and its texts."""
-    schema = "name long, rec long, mate int, first int, text string"
-    symbols, _ = write_table(reads.mapInArrow(_find(span, rounds), schema), "symbols")
-    told = salted_lookup(symbols, _in_two(symbols, "name"), "name")
-    words = [f"w{j}" for j in range(-(-span // 31))]
-    schema = "rec long, mate int, first int, " + ", ".join(f"{w} long" for w in words)
-    windows, _ = write_table(told.select("rec", "mate", "first", "text").mapInArrow(_spread_out(span), schema), "windows")
-    return salted_lookup(windows, _in_two(windows, *words), words).select("rec", "mate", "first")
+def shared_intervals(texts: DataFrame, span: int = SPAN, rounds: int = ROUNDS, share: int | None = None) -> DataFrame:
+    """``(rec, no, start, stop)``: intervals of the texts ``(rec, no, text)`` that together cover just
+    the windows of ``span`` letters that occur verbatim in a text of another record.
 
-
-def shared_bases(nodes: DataFrame, key: str = "id", fields: tuple[str, ...] = ("read_f", "read_r"), span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
+    Fragments meet by name and are compared within the task; a name of more than 1/share of the
+    fragments (see ``hot_keys``) goes window by window, combined before the shuffle and salted.
+    """
+    words, _ = _sizes(span)
+    schema = "name long, rec long, no long, first int, n int, " + ", ".join(f"t{j} long" for j in range(words))
+    fragments, _ = write_table(texts.mapInArrow(_find(span, rounds), schema), "fragments")
+    hot = hot_keys(fragments, "name", share)
+    is_hot = F.xxhash64("name").isin(hot)
+    cold = fragments.where(~is_hot) if hot else fragments
+    found = cold.repartition("name").sortWithinPartitions("name").mapInArrow(_compare(span), INTERVALS)
+    if hot:
+        keys = [f"w{j}" for j in range(-(-span // 31))]
+        schema = "rec long, no long, first int, " + ", ".join(f"{w} long" for w in keys)
+        windows, _ = write_table(fragments.where(is_hot).mapInArrow(_windows_of(span), schema), "windows")
+        both = salted_lookup(windows, _in_two(windows, *keys), keys, share=share)
+        found = found.unionByName(both.select("rec", "no", F.col("first").alias("start"), (F.col("first") + span).alias("stop")))
+    return found
+
+
+def shared_bases(
+    nodes: DataFrame, key: str = "id", fields: tuple[str, ...] = ("read_f", "read_r"), span: int = SPAN, rounds: int = ROUNDS, share: int | None = None
+) -> DataFrame:
     """``(id, shared_bases)`` of each record that shares a span with another one: the
     number of its letters that lie in shared windows of ``span`` letters.
 
-    Rows with the same key are one record, of the first content in the order of its
-    fields; rows with a null key are left out; null and shorter texts share nothing, nor
-    do letters other than A, C, G, T; repeats within a record do not count.
+    Rows with the same key are one record, the set of its distinct texts by field: a null text
+    adds nothing, of different texts each counts. Rows with a null key are left out; shorter
+    texts share nothing, nor do letters other than A, C, G, T; repeats within a record do not count.
     """
-    content = F.struct(*(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
-    one = nodes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(content).alias("c"))
+    names = [f"f{i}" for i in range(len(fields))]
+    rows = nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.struct(*(F.col(c).cast("string").alias(f) for c, f in zip(fields, names))).alias("c"))
     # written once: the numbers must not change if a task runs again
-    one, _ = write_table(one.select("id", F.monotonically_increasing_id().alias("rec"), "c.*"), "records")
-    found = shared_windows(one.drop("id"), span, rounds)
-    here = Window.partitionBy("rec", "mate").orderBy("first")
-    step = F.least(F.lit(span), F.coalesce(F.lead("first").over(here) - F.col("first"), F.lit(span)))
-    bases = found.withColumn("step", step).groupBy("rec").agg(F.sum("step").alias("shared_bases"))
-    return bases.join(one.select("id", "rec"), "rec").select("id", "shared_bases")
+    heads = rows.groupBy("id").agg(F.min("c").alias("c"), F.max("c").alias("hi")).select("id", F.monotonically_increasing_id().alias("rec"), "c", (~F.col("c").eqNullSafe(F.col("hi"))).alias("several"))
+    heads, _ = write_table(heads, "records")
+    texts = lambda df, *more: df.select(*more, F.posexplode(F.array(*(F.col("c")[f] for f in names))).alias("no", "text")).where("text is not null")
+    one = texts(heads.where("not several"), "rec").withColumn("no", F.col("no").cast("long"))
+    # ids of several contents, as rows of their distinct texts
+    more = texts(rows.join(heads.where("several").select("id", "rec"), "id"), "rec").distinct()
+    more, _ = write_table(more.select("rec", F.monotonically_increasing_id().alias("no"), "text"), "texts")
+    found = shared_intervals(one.unionByName(more), span, rounds, share)
+    here = Window.partitionBy("rec", "no").orderBy("start")
+    before = F.coalesce(F.max("stop").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fresh = F.greatest(F.col("stop") - F.greatest("start", before), F.lit(0))
+    bases = found.withColumn("fresh", fresh).groupBy("rec").agg(F.sum("fresh").alias("shared_bases"))
+    return bases.join(heads.select("id", "rec"), "rec").select("id", "shared_bases")

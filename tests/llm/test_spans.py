@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm import spans
 from strandloom.llm.spans import _stretches, settled, shared_bases
 
 SCHEMA = "id string, node_row long, read_f string, read_r string"
@@ -13,17 +14,17 @@ def model(rows, span):
     recs = {}
     for i, n, f, r in rows:
         if i is not None:
-            recs.setdefault(i, (f, r))
+            recs.setdefault(i, set()).update(x for x in ((0, f), (1, r)) if x[1])
     held = {}
     for i, reads in recs.items():
-        for s in reads:
+        for _, s in reads:
             for j in range(len(s or "") - span + 1):
                 if set(s[j : j + span]) <= set("ACGT"):
                     held.setdefault(s[j : j + span], set()).add(i)
     out = []
     for i, reads in recs.items():
         n = 0
-        for s in reads:
+        for _, s in reads:
             at = set()
             for j in range(len(s or "") - span + 1):
                 if len(held.get(s[j : j + span], ())) > 1:
@@ -65,6 +66,35 @@ def test_shared_bases(spark, rows, span):
     assert rows(shared_bases(df, span=span)) == model(src, span)
 
 
+def test_rows_of_one_id_are_one_record(spark, rows):
+    rng = random.Random(2)
+    s, t, u, v = ("".join(rng.choices("ACGT", k=60)) for _ in range(4))
+    assert rows(shared_bases(spark.createDataFrame([("a", 1, None, t), ("a", 2, s, t), ("b", 3, s, None)], SCHEMA))) == [("a", 60), ("b", 60)]
+    src = [("a", 1, s, t), ("a", 2, u, t), ("a", 3, u, t), ("a", 4, None, None), ("b", 5, u[5:55], s), ("c", 6, t[:45], u), ("d", 7, v, v), ("d", 8, v, s[:40])]
+    assert rows(shared_bases(spark.createDataFrame(src, SCHEMA))) == model(src, 40)
+
+
+def test_a_hot_name_and_an_id_of_many_rows(spark, rows):
+    rng = random.Random(12)
+    hot = "".join(rng.choices("ACGT", k=70))
+    src = [(f"r{i}", i, hot[rng.randrange(20) :], "".join(rng.choices("ACGT", k=50))) for i in range(150)]
+    src += [("many", 1000 + i, hot[: 40 + i % 30], src[i][3][: 45 - i % 6]) for i in range(90)]
+    df = spark.createDataFrame(src, SCHEMA)
+    want = model(src, 40)
+    assert rows(shared_bases(df, share=5)) == want and rows(shared_bases(df)) == want
+
+
+def test_fragments_go_on_from_batch_to_batch(spark, rows, monkeypatch):
+    monkeypatch.setattr(spans, "COMPARED", 3)
+    t = texts(random.Random(8), 120)
+    src = [(f"r{i}", i, t[2 * i], t[2 * i + 1]) for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert rows(shared_bases(spark.createDataFrame(src, SCHEMA))) == model(src, 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hot_span_empty_and_long(spark, rows):
     rng = random.Random(9)
     hot = "".join(rng.choices("ACGT", k=50))
