@@ -29,7 +29,8 @@ def dictionary(df: DataFrame, fields: list[str]) -> DataFrame:
     canonical, _ = write_table(canonical, "values")
     # written once: the numbers must not change if a task runs again
     numbered, _ = write_table(canonical.select("content").distinct().withColumn("value_id", F.monotonically_increasing_id()), "ids")
-    return canonical.join(numbered, "content").select("value", "value_id")
+    # one content may be written in any number of ways, so it may be a hot key here
+    return salted_lookup(canonical, numbered, "content").select("value", "value_id")
 
 
 def collapse(df: DataFrame, key: str, fields: list[str]) -> DataFrame:

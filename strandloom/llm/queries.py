@@ -69,8 +69,13 @@ def p10_rules(spark: SparkSession, at: str) -> DataFrame:
     return quality.failed_rules(_read(spark, at, "documents"))
 
 
+def p10_quality(spark: SparkSession, at: str) -> DataFrame:
+    """All statistics, the share of bullets among them, with the reasons of the rules."""
+    return quality.text_quality(_read(spark, at, "documents"), _read(spark, at, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_revised, p4_found, p4_classes, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_rules)
+    own = (p1_found, p1_revised, p4_found, p4_classes, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_rules, p10_quality)
     return {f.__name__: f for f in own}
 
 
@@ -115,7 +120,7 @@ _SYMBOLS = r"""'!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~'"""
 
 def oracle_sql() -> dict[str, str]:
     """p8_ids has none: its tests compare it with a public tokenizer library."""
-    return {
+    sql = {
         "p1_found": f"with r as (select distinct id, read_f, read_r from nodes where id is not null), {_TERMS}",
         "p1_revised": f"""with r as (
             select distinct id, split_part(read_f, 'N', 1) as read_f, split_part(read_r, 'N', 1) as read_r from nodes where id is not null and cov is not null), {_TERMS}""",
@@ -187,3 +192,9 @@ def oracle_sql() -> dict[str, str]:
                 case when stops < 2 then 'stop_words' end], lambda x: x is not null) as reasons
             from n""",
     }
+    bullets = f"""
+        with {_STATS}
+        select doc_id, cast(case when len(lines) = 0 then 0 else 1000 * len(list_filter(lines, lambda x: left(x, 1) in ('•', '-', '*', '‣', '◦'))) // len(lines) end as bigint) as bullets_m
+        from t"""
+    sql["p10_quality"] = f"select * from ({sql['p10_found']}) join ({bullets}) using (doc_id) join ({sql['p10_rules']}) using (doc_id)"
+    return sql

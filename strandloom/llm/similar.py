@@ -21,6 +21,10 @@ SHINGLE = 10
 #: 0.475, so a pair is missed with probability 0.525 ** 24 < 2e-7, above it less.
 SEGMENTS, VALUES = 24, 4
 CHUNK_ROWS = 1 << 12
+#: Texts of a variant that are paired within a task; of more so many meet in one block.
+GROUP, BLOCK = 1 << 7, 1 << 10
+#: Rows that a task pairs at once.
+PAIRED = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,17 +72,15 @@ def _signatures(size: int, segments: int, values: int):
                 base = _mix(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
                 for i in range(segments * values):
                     least[i, full] = np.minimum.reduceat(base * odd[i] + add[i], at)
-            rep = t["rep"].to_numpy()
+            rep = t["rep"].to_numpy()[full]
             for s in range(segments):
-                part = least[s * values : (s + 1) * values]
+                part = least[s * values : (s + 1) * values, full]
                 for gone in range(values):  # the variant in which one value may be anything
-                    h = np.full(n, np.uint64(s * values + gone + 1))
+                    h = np.full(len(full), np.uint64(s * values + gone + 1))
                     for j in range(values):
                         if j != gone:
                             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + part[j])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(rep), pa.array(count.astype(np.int32))], ["sig", "rep", "size"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rep)], ["sig", "rep"])
 
     return run
 
@@ -112,38 +114,115 @@ def classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, salted_lookup(t, reps, "content").select("read_no", "rep")
 
 
+def _pair_up(most: int):
+    """From rows ``(sig, rep)`` in the order of sig the pairs ``(null, rep_a, rep_b)`` of each sig of
+    at most ``most`` texts; rows of others go out as ``(sig, rep, null)``, as they come."""
+    names = ["sig", "rep_a", "rep_b"]
+
+    def rows(sig: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(rep), pa.nulls(len(rep), pa.int64())], names)
+
+    def pairs(sig: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([at, [len(sig)]]))
+        big = np.repeat(n > most, n)
+        if big.any():
+            yield rows(sig[big], rep[big])
+        after = np.repeat(at + n, n) - np.arange(len(sig)) - 1  # those behind it in its group
+        after[big] = 0
+        group = np.cumsum(after) >> 20
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(sig) else []
+        for a, b in zip(cut, [*cut[1:], len(sig)]):
+            first = np.repeat(np.arange(a, b), after[a:b])
+            nth = np.arange(len(first)) - np.repeat(np.cumsum(after[a:b]) - after[a:b], after[a:b])
+            x, y = rep[first], rep[first + nth + 1]
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            x, y = x[x < y], y[x < y]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y)], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, rep, big = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for t in chunks(batches, PAIRED):
+            s, r = t["sig"].to_numpy(), t["rep"].to_numpy()
+            if big is not None:  # the rest of a sig that was too large before
+                n = int(np.searchsorted(s, big, "right"))
+                yield rows(s[:n], r[:n])
+                s, r = s[n:], r[n:]
+            if not len(s):
+                continue
+            big = None
+            sig, rep = np.concatenate([sig, s]), np.concatenate([rep, r])
+            cut = int(np.searchsorted(sig, sig[-1]))  # the last one may go on
+            yield from pairs(sig[:cut], rep[:cut])
+            sig, rep = sig[cut:], rep[cut:]
+            if len(sig) > most:
+                big = sig[-1]
+                yield rows(sig, rep)
+                sig, rep = sig[:0], rep[:0]
+        yield from pairs(sig, rep)
+
+    return run
+
+
+def _met(sigs: DataFrame, most: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``(rep_a, rep_b)``, rep_a < rep_b, of the reps that a variant ``(sig, rep)`` brings together.
+
+    Variants of few texts are paired in the task that gets them, in the order of sig. Those of
+    more than ``most`` are joined with themselves in blocks: one side is dealt over as many
+    salts as the variant has ``block`` texts, the other repeated in each.
+    """
+    schema = "sig long, rep_a long, rep_b long"
+    met, _ = write_table(sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pair_up(most), schema).distinct(), "met")
+    pairs, big = met.where("rep_b is not null").select("rep_a", "rep_b"), met.where("rep_b is null").select("sig", "rep_a")
+    if big.isEmpty():
+        return pairs
+    salts = big.groupBy("sig").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    some, _ = write_table(salted_lookup(big, salts, "sig"), "big")
+    a = some.select("sig", "rep_a", F.pmod(F.xxhash64("rep_a"), F.col("salts")).cast("int").alias("salt"))
+    b = some.select("sig", F.col("rep_a").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return pairs.unionByName(a.join(b.hint("merge"), ["sig", "salt"]).where("rep_a < rep_b").select("rep_a", "rep_b")).distinct()
+
+
 def similar_classes(
     texts: DataFrame, shingle: int = SHINGLE, over: int = 6, under: int = 10, segments: int = SEGMENTS, values: int = VALUES
 ) -> DataFrame:
     """Pairs ``(rep_a, rep_b)``, rep_a < rep_b, of the texts whose sets of shingles
-    have a similarity of over/under at least.
+    have a similarity of over/under at least; of texts without a shingle see ``bare_classes``.
 
     Each text gets a signature of ``segments`` segments of ``values`` minima of
     hashed shingles. A segment is indexed under each variant that leaves one
     value open, texts meet by equality of a variant, and the sets of those that
-    meet are compared exactly, so no pair comes out wrongly. Texts shorter than
-    a shingle have the empty set and are alike to each other only.
+    meet are compared exactly, so no pair comes out wrongly.
     """
-    sigs = texts.mapInArrow(_signatures(shingle, segments, values), "sig long, rep long, size int")
-    a, b = sigs.select("sig", F.col("rep").alias("rep_a"), F.col("size").alias("size_a")), sigs.select(
-        "sig", F.col("rep").alias("rep_b"), F.col("size").alias("size_b")
-    )
-    near = (F.col("rep_a") < F.col("rep_b")) & (F.least("size_a", "size_b") * under >= F.greatest("size_a", "size_b") * over)
-    # 96 rows a text, which the planner takes for one: never a side to broadcast
-    met = a.join(b.hint("merge"), "sig").where(near).select("rep_a", "rep_b").distinct()
+    met = _met(texts.mapInArrow(_signatures(shingle, segments, values), "sig long, rep long"))
     for side in "ab":
         own = texts.select(F.col("rep").alias(f"rep_{side}"), F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b"))
         met = met.join(own, f"rep_{side}")
     return met.mapInArrow(_verify(shingle, over, under), "rep_a long, rep_b long")
 
 
+def bare_classes(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The ``rep`` of the texts shorter than a shingle: their sets are empty, which makes them alike
+    to each other and to no other text."""
+    return texts.where((F.length("a") < shingle) & (F.length("b") < shingle)).select("rep")
+
+
+def _all_of(bare: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs of the bare classes, in blocks; there is one group of them and each pair is asked for."""
+    salts = max(1, -(-bare.count() // block))
+    a = bare.select(F.col("rep").alias("rep_a"), F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int").alias("salt"))
+    b = bare.select(F.col("rep").alias("rep_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return a.join(b, "salt").where("rep_a < rep_b").select("rep_a", "rep_b")
+
+
 def near_duplicates(pairs: DataFrame, **how) -> DataFrame:
     """``(read_a, read_b)``, read_a < read_b: all rows of similar classes that are not
     copies of each other. Rows with a null mate or a mate without a base are left
     out, so are those with a null read_no; an empty table gives no rows."""
     texts, members = classes(pairs)
     members, _ = write_table(members, "members")
-    linked, _ = write_table(similar_classes(texts, **how), "linked")
+    bare, _ = write_table(bare_classes(texts, how.get("shingle", SHINGLE)), "bare")
+    linked, _ = write_table(similar_classes(texts, **how).unionByName(_all_of(bare)), "linked")
     a, b = (members.select(F.col("rep").alias(f"rep_{s}"), F.col("read_no").alias(f"r{s}")) for s in "ab")
     rows = linked.join(a, "rep_a").join(b, "rep_b")
     return rows.select(F.least("ra", "rb").alias("read_a"), F.greatest("ra", "rb").alias("read_b"))
@@ -154,8 +233,10 @@ def linked_classes(pairs: DataFrame, **how) -> DataFrame:
     number of other classes that are similar to it."""
     texts, members = classes(pairs)
     members, _ = write_table(members, "members")
+    bare, _ = write_table(bare_classes(texts, how.get("shingle", SHINGLE)), "bare")
     linked = similar_classes(texts, **how)
     ends = linked.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    ends = ends.unionByName(bare.select("rep", F.lit(bare.count() - 1).cast("long").alias("links")))
     return salted_lookup(members, ends, "rep", how="left").select(
         "read_no", F.col("rep").alias("class_no"), F.coalesce("links", F.lit(0)).cast("long").alias("links")
     )

@@ -20,13 +20,19 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 CHUNK_ROWS = 1 << 11
 #: Pieces whose ids a task remembers; beyond it starts afresh.
 MEMORY = 1 << 18
-#: Matrices hold about so many cells; longer pieces are merged one at a time.
+#: Matrices hold about so many cells; a longer piece than LONG bytes merges all places of its
+#: least rank in a round, if the vocabulary allows it (see ``Vocabulary.ordered``).
 CELLS, LONG = 1 << 20, 2048
 NONE = np.int32(1 << 30)
 
 
 class Vocabulary:
-    """First ids of the 256 bytes and an open hash table from pairs of ids to (rank, merged id)."""
+    """First ids of the 256 bytes and an open hash table from pairs of ids to (rank, merged id).
+
+    ``ordered`` tells that every merge comes after all merges that make its two parts. Then
+    a merge of the least rank makes only pairs of later rank, so that the places of
+    one rank can be merged in one round, with the ids of merging one by one. A vocabulary without
+    this order merges pieces of any length one by one."""
 
     def __init__(self, path: str = VOCABULARY):
         with open(path, encoding="utf-8") as f:
@@ -38,6 +44,10 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         pairs = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
         merged = np.array([ids[a + b] for a, b in merges], np.int32)
+        made: dict[int, int] = {}
+        for i, to in enumerate(merged.tolist()):
+            made[to] = i  # the last merge that makes it
+        self.ordered = all(made.get(part, -1) < i for i, p in enumerate(pairs.tolist()) for part in (p >> 32, p & 0xFFFFFFFF))
         self.bits = max(4, int(len(pairs) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.rank = np.full(1 << self.bits, NONE, np.int32)
@@ -115,8 +125,8 @@ def _merge_matrix(voc: Vocabulary, x: np.ndarray, length: np.ndarray) -> list[tu
 
 
 def _merge_long(voc: Vocabulary, x: np.ndarray) -> np.ndarray:
-    """One long piece: each round merges all places of the least rank, left to right.
-    A merge only makes pairs of later rank, so this is the same as one by one."""
+    """One long piece: each round merges all places of the least rank, left to right; the
+    same as one by one for a vocabulary in order."""
     while len(x) > 1:
         rank, to = voc.find(x[:-1], x[1:])
         best = rank.min()
@@ -135,10 +145,11 @@ def encode_pieces(voc: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     """The ids of each piece: pieces are padded into matrices by the bucket of their length."""
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
     length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    for i in np.flatnonzero(length > LONG):
+    long = length > (LONG if voc.ordered else length.max(initial=0))
+    for i in np.flatnonzero(long):
         out[i] = _merge_long(voc, voc.first[np.frombuffer(pieces[i], np.uint8)])
     order = np.argsort(length, kind="stable")
-    order = order[(length[order] > 0) & (length[order] <= LONG)]
+    order = order[(length[order] > 0) & ~long[order]]
     bucket = np.ceil(2 * np.log2(np.maximum(length[order], 1))).astype(int)
     for b in np.unique(bucket):
         same = order[bucket == b]
@@ -154,28 +165,42 @@ def encode_pieces(voc: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+class _Growing:
+    """A vector that is appended to in place."""
+
+    def __init__(self, kind, first=()):
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+        self.add(np.asarray(first, kind))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + 2 * len(more), self.data.dtype)])
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 def _encode(voc: Vocabulary, key: str, key_type: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split = regex.compile(PIECES, regex.V1).findall
         known: dict[str, int] = {}
-        table: list[np.ndarray] = []
+        # the ids of all known pieces in a row; begin has one place more than there are pieces
+        pool, begin = _Growing(np.int32), _Growing(np.int64, [0])
         for t in chunks(batches, CHUNK_ROWS):
             texts = [split(x) if x else [] for x in t["text"].to_pylist()]
-            if len(table) > MEMORY:
-                known, table = {}, []
+            if len(known) > MEMORY:
+                known, pool, begin = {}, _Growing(np.int32), _Growing(np.int64, [0])
             new = list({p for pieces in texts for p in pieces if p not in known})
-            for p, ids in zip(new, encode_pieces(voc, [p.encode("utf-8", "replace") for p in new])):
-                known[p] = len(table)
-                table.append(ids)
-            size = np.fromiter(map(len, table), np.int64, len(table))
-            begin = np.concatenate([[0], np.cumsum(size)])
-            pool = np.concatenate([*table, np.zeros(0, np.int32)])
+            ids = encode_pieces(voc, [p.encode("utf-8", "replace") for p in new])
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            begin.add(pool.n + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+            pool.add(np.concatenate([np.zeros(0, np.int32), *ids]))
             piece = np.fromiter((known[p] for pieces in texts for p in pieces), np.int64)
-            n = size[piece]
+            start = begin.data[piece]
+            n = begin.data[piece + 1] - start
             ends = np.concatenate([[0], np.cumsum(n)])
-            flat = pool[np.repeat(begin[piece] - ends[:-1], n) + np.arange(ends[-1])] if len(piece) else pool[:0]
+            flat = pool.data[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])] if len(piece) else pool.data[:0]
             per_text = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
             ids = pa.ListArray.from_arrays(pa.array(ends[per_text].astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([t[key].combine_chunks().cast(key_type), ids], [key, "ids"])

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from strandloom.llm.dictionary import collapse, copies
-from strandloom.llm.similar import linked_classes, near_duplicates
+from strandloom.llm.similar import _met, bare_classes, classes, linked_classes, near_duplicates, similar_classes
 
 SCHEMA = "read_no long, seq_f string, seq_r string"
 
@@ -111,3 +111,34 @@ def test_empty_and_long(spark, rows):
     long = some(random.Random(6), 200_000)
     src = [(1, long, "ACGTACGTAC"), (2, long[:-9] + "T", "ACGTACGTAC"), (3, "ACGTACGTAC", " " + long.lower())]
     assert rows(near_duplicates(frame(spark, src))) == [(1, 2), (2, 3)] and rows(copies(frame(spark, src))) == [(1, 2)]
+
+
+def test_texts_without_a_shingle_do_not_meet(spark, rows):
+    """400 texts of less than a shingle are alike to each other, which takes no variant of a signature."""
+    src = [(i, "".join("ACGT"[i >> 2 * j & 3] for j in range(5)), "ACGT") for i in range(400)] + [(900, "ACGTACGTAC", "A")]
+    texts, _ = classes(frame(spark, src))
+    assert similar_classes(texts).count() == 0 and bare_classes(texts).count() == 400
+    got = rows(near_duplicates(frame(spark, src)))
+    assert got == sorted(pairs(src), key=repr) and len(got) == 400 * 399 // 2
+    assert {r[2] for r in rows(linked_classes(frame(spark, src)))} == {399, 0}
+
+
+def test_variants_of_many_texts(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        src = [(5, i) for i in range(60)] + [(6, i) for i in range(3)] + [(7, 8), (8, 1), (8, 2)] + [(9, i) for i in range(20, 45)]
+        want = sorted({(a, b) for s, a in src for t, b in src if s == t and a < b}, key=repr)
+        df = spark.createDataFrame(src, "sig long, rep long")
+        for most, block in ((4, 10), (30, 7), (100, 100), (2, 1000)):
+            assert rows(_met(df, most, block)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_content_in_thousands_of_writings(spark, rows):
+    """The content is a hot key of the dictionary; its writings are all different."""
+    rng = random.Random(4)
+    write = lambda s, i: "".join(c.lower() if i >> j & 1 else c for j, c in enumerate(s)) + f" {i}"
+    f, r = some(rng, 14), some(rng, 20)
+    src = [(i, write(f, i), r) if i % 2 else (i, write(r, i), write(f, i)) for i in range(3000)] + [(5000 + i, some(rng, 12), some(rng, 12)) for i in range(300)]
+    assert rows(copies(frame(spark, src))) == [(0, 3000)]

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.groups import _contracted, _round, groups, priority, union_find
+from strandloom.llm import groups as module
+from strandloom.llm.groups import _contracted, _round, grid_size, groups, priority, union_find
 from strandloom.session import write_table
 
 SCHEMA = "src string, dst string"
@@ -79,3 +80,14 @@ def test_one_round_and_many_agree(spark):
     links = [(f"n{rng.randrange(900)}", f"n{rng.randrange(900)}") for _ in range(700)] + [("n5", f"h{i}") for i in range(500)]
     want = model(links)
     assert run(spark, links) == want and run(spark, links, chunk_edges=60) == want
+
+
+def test_the_grid_is_bounded():
+    assert [grid_size(n, 8) for n in (1, 70_000, 10**6, 10**8, 10**10, 10**12, 10**15)] == [1, 2, 3, 4, 35, 128, 128]
+
+
+def test_a_small_grid_with_many_chunks_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(module, "grid_size", lambda *a: 2)
+    rng = random.Random(6)
+    links = [(f"n{rng.randrange(700)}", f"n{rng.randrange(700)}") for _ in range(400)] + [("hub", f"n{i}") for i in range(0, 300, 7)] + [(f"c{i}", f"c{i + 1}") for i in range(150)]
+    assert run(spark, links, chunk_edges=16) == model(links)

@@ -1,13 +1,19 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.leaks import leaks, words
+from strandloom.llm.leaks import Index, Words, leaks
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
 
+def words(text):
+    return re.findall("[a-z0-9]+", text.lower()) if text else []
+
+
 def model(docs, items, run):
     held = {}
     for i, t in items:
@@ -40,7 +46,8 @@ def test_random_texts(spark, rows, run):
     d, q = frames(spark, docs, items)
     want = model(docs, items, run)
     assert rows(leaks(d, q, run=run)) == want
-    assert rows(leaks(d, q, run=run, index_bytes=300)) == want  # the items in several indexes
+    # the items in several parts and in pieces, searched for few documents at a time
+    assert rows(leaks(d, q, run=run, index_bytes=300, piece=4, held_bytes=1000)) == want
 
 
 def test_long_text_and_lanes(spark, rows):
@@ -56,13 +63,33 @@ def test_empty(spark):
     assert leaks(d.limit(0), q).collect() == leaks(d, q.limit(0)).collect() == leaks(d, q).collect() == []
 
 
-def test_repeated_items_are_fetched_once(spark, rows, monkeypatch):
-    from strandloom.llm import leaks as module
+def test_words():
+    texts = ["Ab-c  d1\nE", None, "", "日本x語y", "\n\n", "K9 İ", "end"]
+    w = Words(texts)
+    at = [w.norm[a:b].tobytes().decode() for a, b in zip(w.start, w.end)]
+    assert [at[a:b] for a, b in zip(w.offsets, w.offsets[1:])] == [words(t) for t in texts]
+    assert len(set(w.token)) == len(set(at)) and Words([]).offsets.tolist() == [0]
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    """With a hash that takes all words for one only the comparison of the letters is left."""
+    monkeypatch.setattr(Words, "_hashes", lambda self, a, b: np.zeros(b - a, np.uint64))
+    items = ["a b c d", "a b c", "x y z", "aa b c"]
+    index = Index.build(list(range(4)), items, 3)
+    text, item = index.search(Words(["q a b c", "b c d", "a b", "x y zz", "aa b c", "x y z"]))
+    assert list(zip(text, item)) == [(0, 0), (0, 1), (1, 0), (4, 3), (5, 2)]
+
+
+def test_size_of_an_index():
+    rng = random.Random(0)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)) for _ in range(100)]
+    index = Index.build(list(range(100)), texts, 13)
+    size = sum(getattr(index, name).nbytes for name, _ in Index.ARRAYS)
+    assert size < 8 * sum(map(len, texts))
+
 
-    fetched = []
-    index = module.Index
-    monkeypatch.setattr(module, "Index", lambda items, run: fetched.append(items) or index(items, run))
-    d, q = frames(spark, [(1, "a b c d e")], [(7, "a b c d e")] * 200 + [(i, f"x{i} y z") for i in range(20)])
-    assert rows(leaks(d, q, run=3, index_bytes=100)) == [(1, 7)]
-    every = [tuple(x) for part in fetched for x in part]
-    assert len(every) == len(set(every)) == 21
+def test_an_item_that_many_share(spark, rows):
+    """A third of the items are one passage: each of them leaks where it stands."""
+    say = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    d, q = frames(spark, [(1, f"so {say} end"), (2, say[4:]), (3, say[8:])], [(i, say if i % 3 == 0 else f"w{i} " * 20) for i in range(900)] + [(0, say)] * 50)
+    assert rows(leaks(d, q, index_bytes=2000)) == sorted(((doc, i) for doc in (1, 2) for i in range(0, 900, 3)), key=repr)

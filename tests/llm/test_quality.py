@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from strandloom.llm.quality import SYMBOLS, failed_rules, text_stats
+from strandloom.llm.quality import SYMBOLS, failed_rules, text_quality, text_stats
 
 TEXTS = [
     None, "", " \t\r\n", "The cat, the hat.", "«And» (THE) end…\n\n- item\n- item two!", "a", "...", "日本語。\r\n全角！\nx", "the cat sat", "!!! ?? the!!!the 'the'",
@@ -39,3 +39,10 @@ def test_rules(spark):
     got = {r["doc_id"]: r["reasons"] for r in failed_rules(df).collect()}
     assert got[0] == [] and got[1] == ["words", "word_length"] and got[2] == ["bullets"] and "symbols" in got[3]
     assert got[4] == ["word_length", "stop_words"] and got[5] == ["word_length", "alphabetic"] and "ellipses" in got[6] and got[7] == [] and 8 not in got
+
+
+def test_one_operator_gives_statistics_and_rules(spark):
+    df = spark.createDataFrame([(1, "- a b\n* the and\nwords."), (2, None)], "doc_id long, text string")
+    common = spark.createDataFrame([("the",), ("b",)], "word string")
+    for most in (10, 1):
+        assert [tuple(r) for r in text_quality(df, common, most=most).collect()] == [(1, 7, 2285, 136, 333, 285, 666, ["words", "word_length", "alphabetic"])]

@@ -39,6 +39,28 @@ def test_long_pieces_merge_alike(voc):
             assert list(_merge_long(voc, voc.first[np.frombuffer(s, np.uint8)])) == list(encode_pieces(voc, [s])[0])
 
 
+def test_a_vocabulary_out_of_order_merges_one_by_one(tmp_path, voc):
+    """A merge that makes a part of an earlier one: its places may not be merged at once."""
+    import json
+
+    import numpy as np
+
+    assert voc.ordered
+    with open(VOCABULARY, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    single = {c: i for c, i in model["vocab"].items() if len(c) == 1}
+    n = max(single.values()) + 1
+    odd = {"model": {"vocab": single | {"ab": n, "abc": n + 1, "bc": n + 2}, "merges": ["ab c", "b c", "a b"]}}
+    path = tmp_path / "odd.json"
+    path.write_text(json.dumps(odd))
+    v = Vocabulary(str(path))
+    assert not v.ordered
+    s = b"abcabab" * 600
+    ids = encode_pieces(v, [s, b"ab"])
+    one = encode_pieces(v, [s[:7]])[0]
+    assert ids[1].tolist() == [n] and ids[0].tolist() == np.tile(one, 600).tolist()
+
+
 def test_texts(spark, library):
     texts = [
         None, "", " ", "\n\n  \n", "Hello, world! It's 2024.", "<|endoftext|> and <|startoftext|>", "日本語のテキストです。", "emoji 😀👍🏽 ‍", "tabs\tand\r\nlines  ",
