@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Edge types in the order in which stages write them (fixed values).
 EDGE_TYPES = ("ff", "fe", "fr", "ef", "rr", "re", "rf", "er")
 BASES = "ACGT"
+#: Directions and link types as seen from the other end (fixed values).
+FLIPPED_DIRS = {"f": "r", "r": "f"}
+FLIPPED_LINKS = {"ff": "rr", "rr": "ff", "fr": "rf", "rf": "fr", "fe": "re", "re": "fe"}
 
 
 def _col(c: Column | str) -> Column:
@@ -94,12 +97,12 @@ def _known(c: Column, table: dict[str, str], what: str) -> Column:
 
 def flip_dir(direction: Column | str) -> Column:
     """f for r and the reverse; anything else but null is an error."""
-    return _known(_col(direction), {"f": "r", "r": "f"}, "direction")
+    return _known(_col(direction), FLIPPED_DIRS, "direction")
 
 
 def flip_link(link: Column | str) -> Column:
     """The type of the link seen from its other end; ef, er and unknown types are errors."""
-    return _known(_col(link), {"ff": "rr", "rr": "ff", "fr": "rf", "rf": "fr", "fe": "re", "re": "fe"}, "link type")
+    return _known(_col(link), FLIPPED_LINKS, "link type")
 
 
 def checked_type(edge_type: Column | str) -> Column:
@@ -171,12 +174,6 @@ def ordered_distinct(items: Column | str) -> Column:
     return F.array_distinct(_col(items))
 
 
-def add_once(items: Column | str, one: Column) -> Column:
-    """A list with an element appended unless it is there; a null list starts empty."""
-    c = F.coalesce(_col(items), F.array().cast("array<string>"))
-    return F.when(F.array_contains(c, one), c).otherwise(F.concat(c, F.array(one)))
-
-
 def pair_ends(mates: Column | str, own: Column | str) -> Column:
     """The mates of a node, or itself if it has none."""
     return F.coalesce(_col(mates), F.array(_col(own)))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.dna import BASES, is_dna
 from strandloom.operators.reads import K
+from strandloom.operators.skew import spread
 
 
+#: Parts of a k-mer that are cut to the cap by themselves.
+CAP_PARTS = 64
 #: The types of which mirrored edges keep one.
 KEPT = ("ff", "fe", "rr", "re")
 
@@ -98,9 +101,14 @@ def kmer_coverage(reads: DataFrame, k: int = K) -> DataFrame:
 
 
 def cap_frequency(occurrences: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` occurrences a k-mer, the longest overlaps first, then by id."""
-    w = Window.partitionBy("kmer").orderBy(F.desc("overlap"), "id", "edge_type", "is_anchor")
-    return occurrences.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+    """At most ``cap`` occurrences a k-mer, the longest overlaps first, then by id. The first of each of
+    ``CAP_PARTS`` parts of a k-mer are taken before the first of all, so a hot k-mer is not sorted in one task."""
+    order = (F.desc("overlap"), "id", "edge_type", "is_anchor")
+    part = spread(["id", "overlap", "edge_type"], CAP_PARTS).alias("_part")
+    some = occurrences.select("*", part)
+    for keys in (["kmer", "_part"], ["kmer"]):
+        some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
+    return some.drop("_part")
 
 
 def match_prefix(reads: DataFrame, k: int = K, mode: str = "canonical", max_kmer_freq: int | None = None) -> DataFrame:
@@ -118,7 +126,8 @@ def match_prefix(reads: DataFrame, k: int = K, mode: str = "canonical", max_kmer
         t = cap_frequency(t, max_kmer_freq)
     a = t.where("is_anchor").select("kmer", F.col("id").alias("src"), "edge_type")  # a constant of each part: windows aren't made for this side
     o = t.select("kmer", F.col("id").alias("dst"), "overlap")
-    return a.join(o, "kmer").where("src <> dst").select("src", "edge_type", "dst", "overlap").distinct()
+    # four or eight rows a read, which the planner takes for one: never a side to broadcast on its estimate
+    return a.join(o.hint("merge"), "kmer").where("src <> dst").select("src", "edge_type", "dst", "overlap").distinct()
 
 
 def remove_mirrors(edges: DataFrame) -> DataFrame:
@@ -150,8 +159,26 @@ def degree(edges: DataFrame) -> DataFrame:
     return plain.groupBy(F.col("src").alias("id"), F.substring("edge_type", 1, 1).alias("dir")).agg(F.count("*").alias("degree"))
 
 
-def digraph(nodes: DataFrame, k: int = K, odd: str = "drop") -> DataFrame:
+def digraph(nodes: DataFrame, k: int = K, odd: str = "keep") -> DataFrame:
     """From cleaned nodes to the digraph: one shuffle for the join, one for the distinct edges."""
     from strandloom.operators.reads import usable_nodes
 
     return to_digraph(match_prefix(usable_nodes(nodes, k, odd), k))
+
+
+def graph_metrics(nodes: DataFrame, k: int = K) -> DataFrame:
+    """``(counter, n)`` of the stages: nodes that can be used, k-mers at the ends and inside that go out,
+    edges, nodes that have edges, and rows of the digraph."""
+    from strandloom.operators.reads import usable_nodes
+
+    reads = usable_nodes(nodes, k)
+    edges = match_prefix(reads, k)
+    one = lambda df, c, n=F.count("*"): df.agg(n.cast("long").alias("n")).select(F.lit(c).alias("counter"), "n")
+    parts = [
+        one(reads, "nodes"), one(anchors(reads, k, once=True), "anchors"), one(windows(reads, k, once=True), "windows"), one(edges, "edges"),
+        one(edges.select("src").distinct(), "nodes_with_edges"), one(to_digraph(edges), "digraph_rows"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandloom.session import write_table
 
+#: Places of a line that are sorted together.
+BLOCK = 1 << 16
+
 
 def tails(edges: DataFrame, black: DataFrame | None = None) -> DataFrame:
     """``(id, dir, tail, tail_dir, oval_size)``: the only continuation of a node in a
@@ -73,6 +76,18 @@ def _ranks(link: DataFrame, cyclic: bool = False) -> tuple[DataFrame, DataFrame]
     return jump.where("not open").select("s", F.col("t").alias("end"), "steps"), loops.select("s", "least")
 
 
+def _next_turn(places: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Places ``(line, pos, turn, ...)`` with ``stop``, the least turn from the place on. Lines are cut into
+    blocks of ``block`` places, so that a long line is not sorted as one: only the least turn of each block is."""
+    cut = places.withColumn("_block", F.floor(F.col("pos") / block))
+    per = cut.groupBy("line", "_block").agg(F.min("turn").alias("_least"))
+    behind = Window.partitionBy("line").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = per.select("line", "_block", F.min("_least").over(behind).alias("_beyond"))
+    here = Window.partitionBy("line", "_block").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0)
+    own = cut.withColumn("_own", F.min("turn").over(here))
+    return own.join(beyond, ["line", "_block"]).withColumn("stop", F.least("_own", "_beyond")).drop("_block", "_own", "_beyond")
+
+
 def find_tails(nodes: DataFrame, edges: DataFrame, black: DataFrame | None = None) -> DataFrame:
     """``(id, dir, tail, tail_dir, dist, oval_size)`` for each node and direction: where
     the walk along only continuations ends, in which direction it looks back, after
@@ -107,8 +122,7 @@ def find_tails(nodes: DataFrame, edges: DataFrame, black: DataFrame | None = Non
     turning = place.join(ahead, "s", "left")
     turned = turning.join(ahead.join(place, "s").select("line").distinct(), "line", "left_semi")  # only lines with a turn are sorted
     twice = turned.unionByName(turned.where("size > 0").withColumn("pos", F.col("pos") + F.col("size")).withColumn("turn", F.col("turn") + F.col("size")))
-    later = Window.partitionBy("line").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0)
-    stops = twice.withColumn("stop", F.min("turn").over(later)).groupBy("s").agg(F.min_by("stop", "pos").alias("stop"))
+    stops = _next_turn(twice).groupBy("s").agg(F.min_by("stop", "pos").alias("stop"))
 
     walk = place.join(stops, "s", "left")
     last = F.when(F.col("size") > 0, F.col("pos") + F.col("size")).otherwise(F.lit(1).cast("long"))  # one beyond the end

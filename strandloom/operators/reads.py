@@ -19,11 +19,10 @@ def split_block(text: Column | str) -> Column:
     return F.transform(F.split(F.regexp_replace(c, "[\r\n]+$", ""), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", keep: tuple[str, ...] = (), odd: str = "drop") -> DataFrame:
+def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", keep: tuple[str, ...] = (), odd: str = "keep") -> DataFrame:
     """All blocks, the columns ``keep`` of them, with their cleaned id and mates and ``verdict``: input_lines_invalid
     (not eight lines), very_reads_short (a trimmed mate of k letters or fewer),
-    reads_non_dna (a letter other than A, C, G, T inside a mate; with ``odd`` "keep" these
-    are good, too) or reads_good."""
+    with ``odd`` "drop" reads_non_dna (a letter other than A, C, G, T inside a mate), or reads_good."""
     lines = blocks.select(*keep, split_block(F.coalesce(text, F.lit(""))).alias("_l"))
     line = lambda i: F.get(F.col("_l"), F.lit(i))
     r = lines.select(
@@ -43,7 +42,7 @@ def judged(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: s
     )
 
 
-def prepare_reads(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", odd: str = "drop") -> DataFrame:
+def prepare_reads(blocks: DataFrame, text: str = "fields_txt", k: int = K, trim_mode: str = "keep", odd: str = "keep") -> DataFrame:
     """``(id, seq_f, seq_r, cov)`` of the good pairs. One pass, no shuffle; blank and
     null blocks are invalid; repeated pairs stay."""
     good = judged(blocks, text, k, trim_mode, odd=odd).where("verdict = 'reads_good'")
@@ -104,27 +103,15 @@ def first_value(text: str = "fields_txt", form: str = "form") -> Column:
     return F.when(F.col(form) == "csv", F.when(closed, bare)).otherwise(F.get(split_block(c), F.lit(0)))
 
 
-def observed(df: DataFrame, name: str = "reads"):
-    """The same rows and an Observation of their number, filled when they are first used."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
-def usable_nodes(nodes: DataFrame, k: int = K, odd: str = "drop", least: bool = False) -> DataFrame:
+def usable_nodes(nodes: DataFrame, k: int = K, odd: str = "keep") -> DataFrame:
     """``(id, seq_f, seq_r, cov)`` of the nodes whose two reads are longer
     than k: what the overlap stages take in. Reads with a letter other than A, C, G, T
-    stay with ``odd`` "keep" (the k-mers that hold one are left out later); "drop" leaves
+    stay (the k-mers that hold one are left out later); ``odd`` "drop" leaves
     out the whole pair. Exact copies are dropped; an id with several contents has a row for
-    each, or with ``least`` only for the smallest of them. Nodes with reads in a column ``contained`` are left out, where
-    there is one."""
+    each. Nodes with reads in a column ``contained`` are left out, where there is one."""
     if "contained" in nodes.columns:
         nodes = nodes.where(F.col("contained").isNull())
     ok = nodes.where(F.col("id").isNotNull() & (F.length("read_f") > k) & (F.length("read_r") > k))
     if odd == "drop":
         ok = ok.where(~F.col("read_f").rlike("[^ACGT]") & ~F.col("read_r").rlike("[^ACGT]"))
-    if not least:
-        return ok.groupBy("id", F.col("read_f").alias("seq_f"), F.col("read_r").alias("seq_r")).agg(F.min("cov").alias("cov"))
-    first = ok.groupBy("id").agg(F.min(F.struct("read_f", "read_r")).alias("s"), F.min("cov").alias("cov"))
-    return first.select("id", F.col("s.read_f").alias("seq_f"), F.col("s.read_r").alias("seq_r"), "cov")
+    return ok.groupBy("id", F.col("read_f").alias("seq_f"), F.col("read_r").alias("seq_r")).agg(F.min("cov").alias("cov"))

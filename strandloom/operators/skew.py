@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hot keys that a join knows at least; more where the session has many partitions.
 LEAST_SHARE = 1000
+#: Rows that a key has at least before it is split.
+LEAST_ROWS = 1 << 17
 
 
 def spread(columns: list[Column | str], parts: int) -> Column:
@@ -14,17 +16,25 @@ def spread(columns: list[Column | str], parts: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
 
 
+def hot_rows(spark: SparkSession, total: int, share: int | None = None) -> int:
+    """Rows from which on a key is hot: 1/share of all. By default share is four times the
+    session's shuffle partitions, 1,000 at least, so a hot key fills a quarter of an average
+    partition; and keys of fewer than LEAST_ROWS rows are not worth splitting."""
+    if share:
+        return total // share + 1
+    return max(total // max(LEAST_SHARE, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1, LEAST_ROWS)
+
+
 def hot_keys(df: DataFrame, key: str | list[str], share: int | None = None) -> list[int]:
-    """Hashes of the keys that hold more than 1/share of the rows: fewer than ``share``
-    numbers by arithmetic, whatever the table holds. By default share is four times the
-    session's shuffle partitions, 1,000 at least, so a key is hot once it fills a quarter of
-    an average partition. ``df`` is read twice, so it should be a stored table or a narrow view of one."""
+    """Hashes of the keys that hold ``hot_rows`` or more: fewer than share numbers by arithmetic,
+    whatever the table holds. ``df`` is read twice, so it should be a stored table or a narrow view of one."""
     keys = [key] if isinstance(key, str) else key
-    share = share or max(LEAST_SHARE, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = df.count()
+    least = hot_rows(df.sparkSession, total, share)
+    if total < least:
+        return []
     some = df.dropna(subset=keys).select(F.xxhash64(*keys).alias("_h"))
-    counts = some.groupBy("_h").agg(F.count("*").alias("_n"))
-    return [r["_h"] for r in counts.where(F.col("_n") * share > total).collect()]
+    return [r["_h"] for r in some.groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).collect()]
 
 
 def salted_lookup(

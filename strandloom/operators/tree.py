@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import chunks
-from strandloom.operators.skew import LEAST_SHARE, spread
+from strandloom.operators.skew import hot_rows, spread
 from strandloom.session import write_table
 
 #: Rows that a task combines at once before anything is shuffled.
@@ -55,10 +55,10 @@ def tree_aggregate(
 
     1. Chunks of ``chunk_rows`` rows are combined where they are read, to one
        state for each key and member of the chunk; these states are written.
-    2. A key and member (or a key without member) that holds more than 1/share of
-       all rows is merged by itself: rounds over ``fan_in`` neighbouring chunks leave one
-       state. Such pairs are fewer than ``share``, as in ``hot_keys``. Of any
-       other pair a reducer gets one state a chunk at most, where a chunk has thousands.
+    2. A key and member (or a key without member) that holds ``hot_rows`` or more (by ``share``) is
+       merged by itself: rounds over ``fan_in`` neighbouring chunks leave one state. Such pairs
+       are few by arithmetic, as in ``hot_keys``. Of any other pair a reducer gets one
+       state a chunk at most, where a chunk has thousands.
     3. The states of a key are dealt over as many slots as the input has
        chunks, by the hash of the member, so that equal members meet and no
        reducer gets more than about a chunk's worth of one key.
@@ -78,11 +78,11 @@ def tree_aggregate(
     if total is None:
         return level0.select("key", "n_rows", F.col("n_rows").alias("n_members"), "largest")
     slots = -(-total // chunk_rows)
-    share = share or max(LEAST_SHARE, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pair = F.xxhash64("key", "member")
+    least = hot_rows(df.sparkSession, total, share)
     # a pair of that share has many rows in some chunk, so only such states are counted here
     counts = level0.where(F.col("n_rows") >= max(2, chunk_rows // 2048)).groupBy(pair.alias("pair")).agg(F.sum("n_rows").alias("n"))
-    hot = [r["pair"] for r in counts.where(F.col("n") * share > total).collect()]
+    hot = [r["pair"] for r in counts.where(F.col("n") >= least).collect()] if total >= least else []
     states = level0.drop("part", "nth")
     if hot:
         wide = fan_in ** math.ceil(math.log(deep + 1, fan_in)) if deep else 1

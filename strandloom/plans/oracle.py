@@ -62,7 +62,7 @@ _PREP = f"""
             {_trim('upper(l[2])')} as seq_f, {_trim('upper(l[6])')} as seq_r from cut),
     judged as (
         select *, case when not eight then 'input_lines_invalid' when least(length(seq_f), length(seq_r)) <= 21 then 'very_reads_short'
-            when regexp_matches(seq_f, '[^ACGT]') or regexp_matches(seq_r, '[^ACGT]') then 'reads_non_dna' else 'reads_good' end as verdict
+            else 'reads_good' end as verdict
         from clean)"""
 
 # the blocks of both forms, cleaned; pairs with odd letters stay
@@ -88,29 +88,29 @@ _MATES = """
 
 _NODES = """
     n as (
-        select id, min(struct_pack(f := read_f, r := read_r)) as s, min(cov) as cov from nodes
-        where id is not null and length(read_f) > 21 and length(read_r) > 21
-            and not regexp_matches(read_f, '[^ACGT]') and not regexp_matches(read_r, '[^ACGT]')
-        group by id),
-    u as (select id, s.f as f, s.r as r, cov, length(s.f) as lf, length(s.r) as lr from n)"""
+        select id, read_f as f, read_r as r, min(cov) as cov from nodes
+        where id is not null and length(read_f) > 21 and length(read_r) > 21 group by 1, 2, 3),
+    u as (select id, f, r, cov, length(f) as lf, length(r) as lr from n)"""
 
 _ANCHORS = f"""{_NODES},
     ends as (
         select id, cov, substr(f, 1, 21) as f0, substr(f, lf - 20, 21) as f1, substr(r, 1, 21) as r0, substr(r, lr - 20, 21) as r1, lf, lr from u),
-    anchors as (
+    ends_of as (
         select id, cov, f0 as kmer, 'ff' as edge_type, lf as overlap from ends union all select id, cov, {_rc('f0')}, 'fr', lf from ends
         union all select id, cov, {_rc('f1')}, 'fe', lf from ends union all select id, cov, f1, 'ef', lf from ends
         union all select id, cov, r0, 're', lr from ends union all select id, cov, {_rc('r0')}, 'er', lr from ends
-        union all select id, cov, {_rc('r1')}, 'rr', lr from ends union all select id, cov, r1, 'rf', lr from ends)"""
+        union all select id, cov, {_rc('r1')}, 'rr', lr from ends union all select id, cov, r1, 'rf', lr from ends),
+    anchors as (select * from ends_of where regexp_full_match(kmer, '[ACGT]{{21}}'))"""
 
 _KMERS = f"""{_ANCHORS},
     at_f as (select id, cov, f, lf, unnest(range(1, lf - 21)) as i from u),
     at_r as (select id, cov, r, unnest(range(1, lr - 21)) as i from u),
     win_f as (select id, cov, substr(f, cast(i as bigint) + 1, 21) as w, lf - i as overlap from at_f),
     win_r as (select id, cov, substr(r, cast(i as bigint) + 1, 21) as w, i + 21 as overlap from at_r),
-    windows as (
+    inner_ones as (
         select id, cov, w as kmer, 'ff' as edge_type, overlap from win_f union all select id, cov, {_rc('w')}, 'fr', overlap from win_f
         union all select id, cov, {_rc('w')}, 'rr', overlap from win_r union all select id, cov, w, 'rf', overlap from win_r),
+    windows as (select * from inner_ones where regexp_full_match(kmer, '[ACGT]{{21}}')),
     kmers as (
         select id, kmer, edge_type, cast(overlap as integer) as overlap, true as is_anchor from anchors
         union all select id, kmer, edge_type, cast(overlap as integer), false from windows),
@@ -126,21 +126,6 @@ _CANON = f"""{_KMERS},
     canon_edges as (
         select distinct a.id as src, a.edge_type, o.id as dst, o.overlap from canon a join canon o on a.kmer = o.kmer and a.id <> o.id where a.is_anchor)"""
 
-# the same over all pairs; k-mers with another letter are left out
-_NODES_ALL = """
-    n as (
-        select id, read_f as f, read_r as r, min(cov) as cov from nodes
-        where id is not null and length(read_f) > 21 and length(read_r) > 21 group by 1, 2, 3),
-    u as (select id, f, r, cov, length(f) as lf, length(r) as lr from n)"""
-
-_KMERS_ALL = f"""{_KMERS.replace(_NODES, _NODES_ALL)},
-    kmers_all as (select * from kmers where regexp_full_match(kmer, '[ACGT]{{21}}')),
-    canon_all as (
-        select id, least(kmer, {_rc('kmer')}) as kmer, edge_type, overlap, is_anchor from kmers_all
-        where case when is_anchor then edge_type in ('ff', 'fe', 'rr', 're') else edge_type in ('ff', 'rr') end),
-    edges_all as (
-        select distinct a.id as src, a.edge_type, o.id as dst, o.overlap from canon_all a join canon_all o on a.kmer = o.kmer and a.id <> o.id where a.is_anchor)"""
-
 _EDGES = """
     e as (select distinct src, edge_type, dst, overlap from edges where src is not null and dst is not null)"""
 
@@ -155,13 +140,12 @@ def _mirror(table: str) -> str:
 
 
 _LINKED = f"""{_EDGES},
-    reads as (select id, min(read_f) as read_f, min(cov) as cov from nodes group by id),
-    linked as (
-        select e.*, read_f, coalesce(cov, 1.0) as cov from e join reads on reads.id = dst
-        where edge_type in ('ff', 'fr', 'rf', 'rr') and read_f is not null)"""
+    reads as (select id, read_f, min(cov) as cov from nodes where id is not null and read_f is not null group by 1, 2),
+    linked as (select e.*, read_f, coalesce(cov, 1.0) as cov from e join reads on reads.id = dst)"""
 
 _BLACK = f"""{_LINKED},
-    black as (select src as id, edge_type as con, dst as node_id, read_f as seq, overlap as oval_size, cov from linked where overlap < 30),
+    black as (select src as id, edge_type as con, dst as node_id, read_f as seq, overlap as oval_size, cov from linked
+        where overlap < 30 and edge_type in ('ff', 'fr', 'rf', 'rr')),
     gray as (select src as id, edge_type as con, dst as node_id from e where overlap between 30 and 40),
     ids as (select distinct id, d from nodes, (values ('f'), ('r')) v(d) where id is not null)"""
 
@@ -203,7 +187,19 @@ _WALK = r"""
     select w.id, w.dir, w.cur as tail, case w.cdir when 'f' then 'r' else 'f' end as tail_dir, w.dist, w.oval_size
     from walk w join far f on f.id = w.id and f.dir = w.dir and f.dist = w.dist"""
 
-_MSG = f"""{_NODES}, {_EDGES},
+def _dark(walk: str) -> str:
+    """The walk that neither leaves a node in a direction with black edges nor enters a node with any."""
+    out = walk.replace("group by 1, 2 having count(*) = 1)", "group by 1, 2 having count(*) = 1 and (src, left(edge_type, 1)) not in (select (id, left(con, 1)) from black))", 1)
+    return out.replace("where a.tail in (select id from nodes)", "where a.tail in (select id from nodes) and a.tail not in (select id from black)", 1)
+
+
+# ids with their numbers of edges in both directions
+_DEGREES = f"""{_EDGES},
+    d as (select src, count(*) filter (where left(edge_type, 1) = 'f') as f, count(*) filter (where left(edge_type, 1) = 'r') as r from e where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1),
+    g as (
+        select id, min(cov) as cov, coalesce(max(f), 0) as f, coalesce(max(r), 0) as r from nodes left join d on src = id where id is not null group by 1)"""
+
+_MSG = f"""{_EDGES},
     lists as (select src as id, edge_type, string_agg(dst || '!' || overlap, chr(9) order by dst || '!' || overlap) as l, count(*) as n from e group by 1, 2),
     wide as (select id, {', '.join(f"max(case when edge_type = '{t}' then l end) as {t}_" for t in ('ff', 'fe', 'fr', 'ef', 'rr', 're', 'rf', 'er'))},
         max(case when edge_type = 'ff' then n end) as n_ff from lists group by id)"""
@@ -271,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
             from e where edge_type not in ('ef', 'er')""",
         "edge_types": "select edge_type, count(*) as n from edges group by 1",
         "edit_distance": f"""with {_LINKED}
-            select src, edge_type, dst, overlap, cast(levenshtein(r.read_f, l.read_f) as integer) as distance from linked l join reads r on r.id = src where r.read_f is not null""",
+            select src, edge_type, dst, overlap, cast(levenshtein(r.read_f, l.read_f) as integer) as distance from linked l join reads r on r.id = src""",
         "fast_compare": """
             with t as (select doc_id, text as x, translate(text, '0123456789', '9876543210') as y, length(text) as n, length(text) // 100 as s from documents where text is not null)
             select doc_id, case when n > 1000 then
@@ -299,14 +295,18 @@ def oracle_sql() -> dict[str, str]:
             select case when edge_type in ('ff', 'fe') then src else dst end as src, case when edge_type in ('ff', 'fe') then dst else src end as dst from canon_edges""",
         "digraph_degree": f"""with {_CANON}
             select src as id, left(edge_type, 1) as dir, count(*) as degree from canon_edges where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1, 2""",
-        "kmers_all": f"with {_KMERS_ALL} select * from kmers_all",
-        "kmer_counts_all": f"""with {_NODES_ALL}, m as (select f as s from u union all select r from u),
+        "kmers_all": f"with {_KMERS} select * from kmers",
+        "kmer_counts_all": f"""with {_NODES}, m as (select f as s from u union all select r from u),
             w as (select substr(s, cast(i as bigint), 21) as k from (select s, unnest(range(1, length(s) - 19)) as i from m))
             select 'kmers_kept' as counter, count(*) filter (where regexp_full_match(k, '[ACGT]{{21}}')) as n from w
             union all select 'kmers_omitted', count(*) filter (where not regexp_full_match(k, '[ACGT]{{21}}')) from w""",
-        "overlap_edges_all": f"with {_KMERS_ALL} select * from edges_all",
-        "digraph_all": f"""with {_KMERS_ALL}
-            select case when edge_type in ('ff', 'fe') then src else dst end as src, case when edge_type in ('ff', 'fe') then dst else src end as dst from edges_all""",
+        "overlap_edges_all": f"with {_CANON} select * from canon_edges",
+        "graph_metrics": f"""with {_CANON}
+            select 'nodes' as counter, count(*) as n from u union all select 'anchors', count(*) from canon where is_anchor
+            union all select 'windows', count(*) from canon where not is_anchor union all select 'edges', count(*) from canon_edges
+            union all select 'nodes_with_edges', count(distinct src) from canon_edges union all select 'digraph_rows', count(*) from canon_edges""",
+        "without_contained": f"""with {_NODES}, {_EDGES}
+            select id, f as seq_f, r as seq_r from u where id not in (select src from e where overlap < 40)""",
         "link_degree": f"with {_EDGES} select src as id, left(edge_type, 1) as dir, count(*) as degree from e where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1, 2",
         "has_edge": f"""with {_EDGES}
             select dst as src, edge_type, src as dst, overlap, exists (select 1 from e b where b.src = a.dst and b.dst = a.src and b.edge_type = a.edge_type and b.overlap = a.overlap) as found from e a""",
@@ -327,6 +327,8 @@ def oracle_sql() -> dict[str, str]:
         "black_degree": f"with {_BLACK} select id, left(con, 1) as dir, count(*) as blkdegree from black group by 1, 2",
         "keep_black": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) = 'f'",
         "clear_black": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) <> 'f'",
+        "keep_black_r": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) = 'r'",
+        "clear_black_r": f"with {_BLACK} select id, con, node_id, oval_size from black where left(con, 1) <> 'r'",
         "merged_lists": """
             select src, edge_type, list(dst || '!' || overlap order by dst || '!' || overlap) as links from edges where src is not null and dst is not null group by 1, 2""",
         "pair_ends": f"""with {_EDGES}, m as (select src, list(distinct dst order by dst) as l from e where edge_type in ('fe', 're') group by 1)
@@ -339,20 +341,12 @@ def oracle_sql() -> dict[str, str]:
             select id, case d when 'f' then 'r' else 'f' end as dir, exists (
                 select 1 from e join marks b on b.id = e.src and b.node_id = e.dst and left(b.con, 1) = left(e.edge_type, 1)
                 where e.src = ids.id and e.edge_type in (d || 'f', d || 'r') and b.con in ('ff', 'fr', 'rf', 'rr')) as gray from ids""",
-        "node_message": f"""with {_MSG}
-            select u.id, u.id || chr(9) || 'N' || chr(9) || '*s' || chr(9) || {_encoded('f')} || '!' || {_encoded('r')} || chr(9) || '*v' || chr(9) || printf('%.2f', cov)
-                || {" || ".join(f"coalesce(chr(9) || '*{t}' || chr(9) || {t}_, '')" for t in ('ff', 'fe', 'fr', 'ef', 'rr', 're', 'rf', 'er'))} as line
-            from u left join wide on wide.id = u.id where cov is not null""",
-        "node_parse": f"""with {_MSG}
-            select u.id, {_encoded('f')} || '!' || {_encoded('r')} as s, printf('%.2f', cov) as v, cast(coalesce(n_ff, 0) as integer) as n_ff from u left join wide on wide.id = u.id where cov is not null""",
-        "node_parse_only": f"""with {_MSG}
-            select id, edge_type as code, replace(l, chr(9), ',') as list from lists where edge_type in ('ff', 'rr') and id in (select id from u where cov is not null)""",
-        "node_message_all": f"""with {_MSG_ALL}
+        "node_message": f"""with {_MSG_ALL}
             select a.id, a.id || chr(9) || 'N' || coalesce(chr(9) || '*s' || chr(9) || s, '') || coalesce(chr(9) || '*v' || chr(9) || v, '')
                 || {" || ".join(f"coalesce(chr(9) || '*{t}' || chr(9) || {t}_, '')" for t in ('ff', 'fe', 'fr', 'ef', 'rr', 're', 'rf', 'er'))} as line
             from a left join wide on wide.id = a.id""",
-        "node_parse_all": f"with {_MSG_ALL} select a.id, s, v, cast(coalesce(n_ff, 0) as integer) as n_ff from a left join wide on wide.id = a.id",
-        "node_parse_only_all": f"""with {_MSG_ALL}
+        "node_parse": f"with {_MSG_ALL} select a.id, s, v, cast(coalesce(n_ff, 0) as integer) as n_ff from a left join wide on wide.id = a.id",
+        "node_parse_only": f"""with {_MSG_ALL}
             select a.id, edge_type as code, replace(l, chr(9), ',') as list from a join lists on lists.id = a.id where edge_type in ('ff', 'rr')""",
         "consensus_majority": _consensus(
             "case when items >= 3 and w12 <= 2 then len3 else len2 end",
@@ -386,4 +380,34 @@ def oracle_sql() -> dict[str, str]:
         "find_tails_overlaps": f"""with recursive {_CANON},
             x as (select src, edge_type, dst, max(overlap) as overlap from canon_edges where edge_type in ('ff', 'rr') group by 1, 2, 3), {_WALK.format('x')}""",
     }
-    return found
+    more = {
+        **{name: found["fastq_scan"] for name in ("fastq_gzip", "fastq_bzip2", "fastq_malformed")},
+        "fastq_line_cap": f"select * from ({found['fastq_scan']}) where greatest(length(id) + 3, length(seq_f), length(qual_f), length(seq_r), length(qual_r)) <= 60",
+        "digraph_all": found["digraph"],
+        **{f"{name}_all": found[name] for name in ("node_message", "node_parse", "node_parse_only")},
+        "node_file_scan": found["node_parse"],
+        "edges_tsv": f"with {_EDGES} select * from e",
+        "node_flags": f"with {_DEGREES} select id, f = 1 as cf, r = 1 as cr, coalesce(cov <= 2, false) as u from g",
+        "compressible": f"with {_DEGREES} select id from g where f = 1 and r = 1",
+        "node_colors": f"""with {_DEGREES}
+            select id, case f when 0 then 'W' when 1 then 'G' else 'B' end as fcolor, case when f > 0 then case r when 0 then 'W' when 1 then 'G' else 'B' end end as rcolor from g""",
+        "custom_fields": f"with {_DEGREES} select id, r <= 1 as has_q, case when r <= 1 then f || ',' || r end as q, 'new' || f as z from g",
+        "edge_lists": f"""with {_EDGES}, lists as (select src as id, edge_type as code, string_agg(dst || '!' || overlap, ',' order by dst || '!' || overlap) as l from e group by 1, 2)
+            select id, code, l as list from lists where code not in ('ff', 'rr', 'fe') union all select id, 'fe', l from lists where code = 'ef'
+            union all select i.id, 'ff', concat_ws(',', l, i.id || '!21') from (select distinct src as id from e) i left join lists on lists.id = i.id and code = 'ff'""",
+        "read_attributes": f"with {_DEGREES} select id, case when f = r then 'd' || f else 'd' || f || ',d' || r end as attributes, id as contained from g",
+        "edge_notes": f"""with {_LINKED}, p as (select *, left(edge_type, 1) as d, cast(cast(cov as float) as varchar) as c from linked where edge_type in ('ff', 'fr', 'rf', 'rr'))
+            select src as id, 'g' as code, edge_type || '|' || dst as note from p where overlap between 30 and 40
+            union all select src, 'b', edge_type || '|' || dst || '|' || read_f || '|' || overlap || '|' || c || '|' || d from p where overlap < 30
+            union all select src, case overlap % 3 when 1 then 'a' else 'e' end, dst || '|' || d || '|' || edge_type || '|' || overlap from p where overlap % 3 in (0, 1)
+            union all select src, 'x', dst || '|' || c || '|' || src from p where edge_type = 'ff'
+            union all select src, 'p', src || '|' || d || '|' || dst || '|' || d || '|' || src || '|' || c || '|' || overlap from p where edge_type = 'rr'""",
+        "note_scan": f"with {_BLACK} select id, con, node_id, seq as str_raw, oval_size, cast(cov as float) as cov, left(con, 1) as end from black",
+        "tail_texts": f"""with {_EDGES}
+            select src as id, left(edge_type, 1) as dir, min(dst) || ' ' || min(right(edge_type, 1)) || ' 1' as tail from e where edge_type in ('ff', 'fr', 'rf', 'rr') group by 1, 2 having count(*) = 1""",
+        "candidate_texts": f"with {_LINKED} select src, edge_type, dst || '!' || overlap || '|' || cast(cast(cov as float) as varchar) as candidate from linked",
+        "overlap_messages": f"with {_LINKED} select src, edge_type || ' ' || dst || ' ' || overlap || ' ' || read_f as shown from linked",
+        "select_black_edge_r": found["select_black_edge"].replace("('ff', 'fr') as fits", "('rf', 'rr') as fits").replace("con in ('ff', 'fr') desc", "con in ('rf', 'rr') desc"),
+        "find_tails_black": f"with recursive {_BLACK}, {_dark(_WALK.format('e'))}",
+    }
+    return found | more

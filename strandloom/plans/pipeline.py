@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import clean_id, trim_n
@@ -12,7 +12,7 @@ from strandloom.operators import overlap, reads
 from strandloom.sources.fastq import read_fastq
 
 
-def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep", odd: str = "drop") -> DataFrame:
+def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep", odd: str = "keep") -> DataFrame:
     """``(id, seq_f, seq_r, cov)`` of pairs as the FASTQ source reads them; short pairs
     are left out, and with ``odd`` "drop" those with a letter other than A, C, G, T inside."""
     r = pairs.select(clean_id("id").alias("id"), trim_n(F.upper("seq_f"), trim_mode).alias("seq_f"), trim_n(F.upper("seq_r"), trim_mode).alias("seq_r"))
@@ -22,7 +22,7 @@ def clean_pairs(pairs: DataFrame, k: int = reads.K, trim_mode: str = "keep", odd
     return ok.withColumn("cov", F.lit(reads.FIRST_COV).cast("float"))
 
 
-def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical", max_kmer_freq: int | None = None, odd: str = "drop") -> dict[str, DataFrame]:
+def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical", max_kmer_freq: int | None = None, odd: str = "keep") -> dict[str, DataFrame]:
     """The stages' results by name: reads, edges, digraph. Rows of one id are one node,
     which has the edges of all of them; only exact copies are dropped."""
     own = clean_pairs(pairs, k, odd=odd).distinct()
@@ -32,6 +32,14 @@ def assemble_graph(pairs: DataFrame, k: int = reads.K, mode: str = "canonical",
     return {"reads": own, "edges": edges, "digraph": overlap.to_digraph(edges)}
 
 
+def write_rows(df: DataFrame, path: str, form: str = "parquet", compression: str | None = None) -> None:
+    """A stage's rows as Parquet or as tab-separated text, over what lay there."""
+    w = df.write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
+    w.parquet(path) if form == "parquet" else w.option("sep", "\t").csv(path)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="strandloom", description="Overlap graph of interleaved paired FASTQ files.")
     p.add_argument("-i", "--input", required=True, help="file or folder of FASTQ")
@@ -42,8 +50,10 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     for name, df in assemble_graph(read_fastq(spark, a.input), a.k, odd=a.odd).items():
-        w = df.write.mode("overwrite")
-        w.parquet(f"{a.output}/{name}") if a.format == "parquet" else w.option("sep", "\t").csv(f"{a.output}/{name}")
+        seen = Observation(name)
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        write_rows(counted, f"{a.output}/{name}", a.format)
+        print(f"{name}: {seen.get['rows']} rows")
 
 
 if __name__ == "__main__":

@@ -101,3 +101,25 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in a folder, none if it does not exist."""
     fs, p = _fs_path(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def files_at(spark: SparkSession, paths: str) -> list[tuple[str, int]]:
+    """Full addresses and sizes of the files at comma-separated paths or patterns, those in nested
+    folders too; hidden ones are left out. Whatever file system the session knows will do."""
+    found: list[tuple[str, int]] = []
+    for path in paths.split(","):
+        fs, p = _fs_path(spark, path)
+        at = fs.globStatus(p)
+        if not at:
+            raise FileNotFoundError(path)
+        todo = list(at)
+        while todo:
+            x = todo.pop()
+            name = x.getPath().getName()
+            if name.startswith(("_", ".")):
+                continue
+            if x.isDirectory():
+                todo += list(fs.listStatus(x.getPath()))
+            else:
+                found.append((x.getPath().toString(), x.getLen()))
+    return sorted(found)

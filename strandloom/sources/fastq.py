@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import importlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.functions.vectors import slices
+from strandloom.session import files_at
 
 SCHEMA = "id string, seq_f string, qual_f string, seq_r string, qual_r string"
 NAMES = ["id", "seq_f", "qual_f", "seq_r", "qual_r"]
@@ -29,13 +32,32 @@ class Split(InputPartition):
     packed: bool
 
 
+#: Schemes under which pyarrow knows what Hadoop calls otherwise (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    if path.startswith("file:/"):
+        path = "file:///" + path[5:].lstrip("/")
+    elif "://" not in path:
+        path = "file://" + path
+    scheme, rest = path.split("://", 1)
+    system, at = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return system, at
 
 
+def _stream(path: str, opener: str):
+    """A file to read from and seek in. ``opener`` names a function, as ``package.module:function``,
+    that opens an address of a file system that pyarrow does not know."""
+    if opener:
+        module, name = opener.split(":")
+        return getattr(importlib.import_module(module), name)(path)
+    system, at = _open(path)
+    return system.open_input_file(at)
+
+
 class _Lines:
     """Whole lines from a byte position on, with the position of each."""
 
@@ -63,12 +85,15 @@ class FastqReader(DataSourceReader):
         self.path = options.get("path", "")
         self.split = int(options.get("splitSize", 64 << 20))
         self.longest = int(options.get("maxLineLength", 10_000))
+        self.files = json.loads(options.get("files", "null"))
+        self.opener = options.get("opener", "")
         self.strict = options.get("mode", "FAILFAST").upper() != "DROPMALFORMED"
 
-    def partitions(self) -> list[InputPartition]:
+    def _list(self) -> list[tuple[str, int]]:
+        """Files and sizes by pyarrow, where ``read_fastq`` has not listed them."""
         from pyarrow import fs
 
-        out: list[InputPartition] = []
+        found = []
         for path in self.path.split(","):
             system, at = _open(path)
             head = path[: len(path) - len(at)] if path.endswith(at) else ""
@@ -76,22 +101,25 @@ class FastqReader(DataSourceReader):
             files = [info] if info.type == fs.FileType.File else [
                 x for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))
             ]
-            for f in sorted(files, key=lambda x: x.path):
-                if f.path.endswith((".gz", ".bz2")):
-                    out.append(Split(head + f.path, 0, 1 << 62, True))
-                else:
-                    out += [Split(head + f.path, a, min(a + self.split, f.size), False) for a in range(0, f.size, self.split)]
+            found += sorted((head + f.path, f.size) for f in files)
+        return found
+
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path, size in self.files if self.files is not None else self._list():
+            if path.endswith((".gz", ".bz2")):
+                out.append(Split(path, 0, 1 << 62, True))
+            else:
+                out += [Split(path, a, min(a + self.split, size), False) for a in range(0, size, self.split)]
         return out or [Split("", 0, 0, False)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if not split.path:
             return
-        system, at = _open(split.path)
-        if split.packed:
-            with system.open_input_stream(at, compression=None) as raw:
-                yield from self._pairs((gzip if at.endswith(".gz") else bz2).open(raw), 0, split.end, False)
-        else:
-            with system.open_input_file(at) as f:
+        with _stream(split.path, self.opener) as f:
+            if split.packed:
+                yield from self._pairs((gzip if split.path.endswith(".gz") else bz2).open(f), 0, split.end, False)
+            else:
                 # one byte back: a line that starts at the border belongs to this split
                 f.seek(max(0, split.start - 1))
                 yield from self._pairs(f, max(0, split.start - 1), split.end, split.start > 0)
@@ -184,7 +212,8 @@ class FastqSource(DataSource):
     whatever the split size. Compressed files (.gz, .bz2) are one split each.
     Options: splitSize, maxLineLength (10,000), mode FAILFAST (default) or
     DROPMALFORMED, which looks for the next header instead of failing. A lone mate
-    1 at the end is dropped; lengths of bases and qualities may differ.
+    1 at the end is dropped; lengths of bases and qualities may differ. Tasks open the files
+    through pyarrow, or through the function that the option ``opener`` names.
     """
 
     @classmethod
@@ -199,15 +228,22 @@ class FastqSource(DataSource):
 
 
 def read_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The pairs at comma-separated paths: files, patterns and folders with all that is nested in
+    them, of the session's file systems (a path without a scheme means the default one)."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq_pairs").options(**options).load(path)
+    files = json.dumps(files_at(spark, path))
+    return spark.read.format("fastq_pairs").options(files=files, **options).load(path)
 
 
-def write_fastq(pairs: DataFrame, path: str, compression: str | None = None) -> None:
-    """Pairs ``(id, seq_f, qual_f, seq_r, qual_r)`` as interleaved FASTQ text files."""
-    line = F.concat_ws(
+def record_text() -> Column:
+    """The eight lines of a pair ``(id, seq_f, qual_f, seq_r, qual_r)``, without a line end."""
+    return F.concat_ws(
         "\n", F.concat(F.lit("@"), F.col("id"), F.lit("/1")), "seq_f", F.lit("+"), "qual_f",
         F.concat(F.lit("@"), F.col("id"), F.lit("/2")), "seq_r", F.lit("+"), "qual_r",
     )
-    out = pairs.select(line.alias("value")).write
+
+
+def write_fastq(pairs: DataFrame, path: str, compression: str | None = None) -> None:
+    """Pairs ``(id, seq_f, qual_f, seq_r, qual_r)`` as interleaved FASTQ text files."""
+    out = pairs.select(record_text().alias("value")).write
     (out.option("compression", compression) if compression else out).text(path)

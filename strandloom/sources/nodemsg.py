@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.dna import EDGE_TYPES, encode_dna, two_places
@@ -62,3 +62,14 @@ def parse_node_lines(lines: DataFrame, line: str = "line", only: list[str] | Non
     if only is None:
         known = F.when(F.get("head", F.lit(1)).eqNullSafe(F.lit("N")), known).otherwise(F.raise_error(F.lit("unknown code in a node line")))
     return s.select(F.col("head")[0].alias("id"), known.alias("fields"))
+
+
+def write_node_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
+    """Node lines as text files."""
+    w = lines.select(F.col("line").alias("value")).write.mode("overwrite")
+    (w.option("compression", compression) if compression else w).text(path)
+
+
+def read_node_lines(spark: SparkSession, path: str | list[str], only: list[str] | None = None) -> DataFrame:
+    """``(id, fields)`` of node files, plain or compressed, by Spark's own scan; empty lines are passed over."""
+    return parse_node_lines(spark.read.text(path).where("value != ''"), "value", only)

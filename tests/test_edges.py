@@ -126,3 +126,47 @@ def test_node_lines_without_reads_or_coverage(spark, tmp_path):
     assert {tuple(r) for r in queries()["node_parse_all"](spark, str(tmp_path)).collect()} == {
         ("a", "CS!", "1.00", 0), ("b", "!A", "1.00", 0), ("c", None, "1.00", 0), ("d", "null!A", None, 0), ("e", None, None, 1)
     }
+
+
+def test_fields_of_nodes(spark):
+    from strandloom.functions import fields as f
+
+    df = spark.createDataFrame([({"a": ["1", "2"], "u": ["1"], "e": []}, "x"), (None, "y")], "m map<string,array<string>>, v string")
+
+    def both(c):
+        return [r[0] for r in df.select(c).collect()]
+
+    assert both(f.has("m", "a")) == [True, False] and both(f.get("m", "a")) == [["1", "2"], None] and both(f.first("m", "e")) == [None, None]
+    assert both(f.clear("m", "a")) == [{"u": ["1"], "e": []}, {}]
+    assert both(f.get(f.put("m", "a", F.array("v", "v")), "a")) == [["x", "x"], ["y", "y"]]
+    assert both(f.has(f.put("m", "a", F.lit(None).cast("array<string>")), "a")) == both(f.has(f.put("m", "a", F.array().cast("array<string>")), "a")) == [False, False]
+    assert both(f.get(f.put_one("m", "a", F.col("v")), "a")) == [["x"], ["y"]] and both(f.has(f.put_one("m", "a", F.lit(None).cast("string")), "a")) == [False, False]
+    assert both(f.get(f.append("m", "a", F.col("v")), "a")) == [["1", "2", "x"], ["y"]] and both(f.get(f.append("m", "a", F.lit(None).cast("string")), "a")) == [["1", "2"], None]
+    assert both(f.get(f.append_once("m", "a", F.lit("2")), "a")) == [["1", "2"], ["2"]]
+    assert both(f.flag("m", "u")) == [True, False] and both(f.flag(f.set_flag("m", "u", F.col("v") == "y"), "u")) == [False, True]
+    assert both(f.note("v", F.lit(2.0).cast("float"), F.lit(3))) == ["x|2.0|3", "y|2.0|3"] and both(f.note("v", F.lit(None))) == [None, None]
+    assert [tuple(r) for r in both(f.note_parts(F.lit("a||c"), "p", "q", "r", "s"))] == [("a", "", "c", None)] * 2
+
+
+def test_node_files(spark, tmp_path):
+    from strandloom.sources.nodemsg import read_node_lines, write_node_lines
+
+    lines = spark.createDataFrame([("n1", "n1\tN\t*s\tC!A\t*ff\ta!1\tb!2"), ("n2", "n2\tN"), ("", "")], "id string, line string")
+    for packed in (None, "gzip"):
+        write_node_lines(lines, str(tmp_path / "n"), packed)
+        assert sorted((r["id"], r["fields"]) for r in read_node_lines(spark, str(tmp_path / "n")).collect()) == [("n1", {"s": ["C!A"], "ff": ["a!1", "b!2"]}), ("n2", {})]
+    assert [r["fields"] for r in read_node_lines(spark, str(tmp_path / "n"), ["ff"]).where("id = 'n1'").collect()] == [{"ff": ["a!1", "b!2"]}]
+
+
+def test_hubs_are_cut_in_parts(spark, rows):
+    """Consensus and choice of a group of many items equal those of its first items and sums."""
+    import random
+
+    rng = random.Random(1)
+    items = [("hub", "".join(rng.choices("ACGT", k=rng.randrange(5, 9))), float(rng.randrange(1, 4))) for _ in range(700)] + [("one", "AC", 1.0), ("two", "ACG", 1.0), ("two", "AC", 5.0)]
+    ranked = sorted((s for g, s, _ in items if g == "hub"), key=lambda s: (-len(s), s))
+    at = len(ranked[1])
+    sums = [{b: sum(int(w) for g, s, w in items if g == "hub" and len(s) > i and s[i] == b) for b in "ATCG"} for i in range(at)]
+    want = "".join(next((b for b in "ATCG" if all(x[b] > x[o] for o in "ATCG" if o != b)), "N") for x in sums)
+    got = dict(cons(spark, rows, c.consensus_plurality, items, (1, 1)))
+    assert got == {"hub": want, "one": "AC", "two": "AC"}

@@ -95,7 +95,7 @@ def test_pipeline(spark, tmp_path):
     (tmp_path / "x.fastq").write_text(text(pairs))
     read = read_fastq(spark, str(tmp_path / "x.fastq"), splitSize=700)
     out = assemble_graph(read)
-    assert out["reads"].count() == 30 and {r["cov"] for r in out["reads"].collect()} == {2.0}
+    assert out["reads"].count() == 31 and assemble_graph(read, odd="drop")["reads"].count() == 30 and {r["cov"] for r in out["reads"].collect()} == {2.0}
     full = assemble_graph(read, mode="full")
     edges = {tuple(r) for r in out["edges"].collect()}
     assert edges and edges == {tuple(r) for r in full["edges"].collect()} and out["digraph"].count() == len(edges)
@@ -120,4 +120,31 @@ def test_nodes_with_several_contents(spark, rows):
     s, t = "ACGT" * 6, "ACCT" * 6
     df = spark.createDataFrame([("a", s, s, 1.0), ("a", s, t, 2.0), ("a", s, s, None)], "id string, read_f string, read_r string, cov float")
     assert rows(usable_nodes(df)) == [("a", s, t, 2.0), ("a", s, s, 1.0)][:: 1 if t < s else -1]
-    assert len(rows(usable_nodes(df, least=True))) == 1
+
+
+def opened(path):
+    return open(path.removeprefix("file:"), "rb")
+
+
+def test_patterns_nested_folders_and_an_opener(spark, tmp_path, src):
+    for i, at in enumerate(("a", "a/b", "c", ".hidden", "_logs")):
+        (tmp_path / at).mkdir()
+        (tmp_path / at / "x.fastq").write_text(text(src[4 * i : 4 * i + 4] or src))
+    got = lambda p, **o: sorted(tuple(r) for r in read_fastq(spark, p, **o).collect())
+    assert got(str(tmp_path), splitSize=50) == got(f"file://{tmp_path}") == got(f"{tmp_path}/a,{tmp_path}/c") == sorted(src)
+    assert got(f"{tmp_path}/[bc]*/*.fastq") == sorted(src[8:]) and got(f"{tmp_path}/a") == sorted(src[:8])
+    assert split_read(tmp_path / "c" / "x.fastq", 70, opener="test_fastq:opened") == src[8:]
+    with pytest.raises(FileNotFoundError):
+        read_fastq(spark, f"{tmp_path}/nothing*")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from strandloom.plans import pipeline
+
+    rng = random.Random(3)
+    g = "".join(rng.choices("ACGT", k=300))
+    (tmp_path / "x.fastq").write_text(text([(f"r{i}", g[9 * i : 9 * i + 40], "F", g[9 * i + 60 : 9 * i + 100][::-1], "F") for i in range(20)]))
+    pipeline.main(["-i", str(tmp_path / "x.fastq"), "-o", str(tmp_path / "out"), "--format", "tsv"])
+    assert "reads: 20 rows" in capsys.readouterr().out
+    edges = spark.read.option("sep", "\t").csv(str(tmp_path / "out" / "edges"))
+    assert edges.count() > 0 and len(edges.columns) == 4

@@ -85,18 +85,18 @@ def test_cleaning(spark, rows):
     good = "acgt" * 6
     src = [block(good, good), block(good, good, 7), block(good, "A" * 21), block(good, "A" * 21 + "N"), block(good, "ACNG" * 9), None, "", block(good, good).replace("\n", "\r\n") + "\r\n\r\n"]
     df = spark.createDataFrame(list(enumerate(src)), "n int, fields_txt string")
-    assert [r["verdict"] for r in sorted(judged(df, keep=("n",)).collect(), key=lambda r: r["n"])] == [
+    assert [r["verdict"] for r in sorted(judged(df, keep=("n",), odd="drop").collect(), key=lambda r: r["n"])] == [
         "reads_good", "input_lines_invalid", "very_reads_short", "very_reads_short", "reads_non_dna", "input_lines_invalid", "input_lines_invalid", "reads_good"
     ]
-    assert rows(prepare_reads(df)) == [("a_1", good.upper(), good.upper(), 2.0)] * 2
+    assert rows(prepare_reads(df, odd="drop")) == [("a_1", good.upper(), good.upper(), 2.0)] * 2 and prepare_reads(df).count() == 3
 
 
 def test_usable_nodes(spark, rows):
     s = "ACGT" * 6
     df = spark.createDataFrame([("a", s, s, None), ("a", s, s, 1.0), (None, s, s, 1.0), ("b", s, None, 1.0), ("c", s, s[:21], 1.0), ("d", s, s + "N", 1.0)], "id string, read_f string, read_r string, cov float")
-    assert rows(usable_nodes(df)) == [("a", s, s, 1.0)]
+    assert rows(usable_nodes(df)) == [("a", s, s, 1.0), ("d", s, s + "N", 1.0)] and rows(usable_nodes(df, odd="drop")) == [("a", s, s, 1.0)]
     held = df.selectExpr("*", "if(id = 'a', array('x'), null) as contained")
-    assert rows(usable_nodes(held)) == []
+    assert rows(usable_nodes(held, odd="drop")) == [] and usable_nodes(held).count() == 1
 
 
 def test_empty(spark):

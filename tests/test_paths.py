@@ -112,3 +112,13 @@ def test_ways_into_a_cycle(spark):
     assert ("A", "f", "U", "r", 2, 4) in rows
     assert len(rows) == 2 * len(nodes)
     assert set(rows) == want
+
+
+def test_turns_by_blocks_equal_those_of_the_whole_line(spark):
+    from strandloom.operators.paths import _next_turn
+
+    rng = random.Random(9)
+    src = [(line, pos, rng.randrange(-50, 200) if rng.random() < 0.2 else None) for line in "ab" for pos in range(-40, 90) if rng.random() < 0.8]
+    got = {(r["line"], r["pos"]): r["stop"] for r in _next_turn(spark.createDataFrame(src, "line string, pos long, turn long"), 7).collect()}
+    want = {(a, p): min((t for b, q, t in src if b == a and q >= p and t is not None), default=None) for a, p, _ in src}
+    assert got == want

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from strandloom.operators.skew import hot_keys, salted_lookup
+from strandloom.operators.skew import hot_keys, hot_rows, salted_lookup
 from strandloom.operators.tree import fan_in_pairs, prefix_stats, tree_aggregate
 
 
@@ -78,4 +78,6 @@ def test_fan_in_takes_few_states(spark):
 
 def test_hot_keys_are_few_by_arithmetic(spark):
     df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise(F.col("id").cast("string")).alias("k"))
-    assert len(hot_keys(df, "k")) == 1 and hot_keys(df, "k", share=1) == [] and hot_keys(df.where("false"), "k") == []
+    assert len(hot_keys(df, "k", share=3)) == 1 and hot_keys(df, "k", share=1) == [] and hot_keys(df.where("false"), "k", share=3) == []
+    assert hot_keys(df, "k") == []  # 2,000 rows are not worth splitting
+    assert [hot_rows(spark, n) for n in (10**6, 10**9)] == [1 << 17, 10**6 + 1]
