@@ -114,6 +114,8 @@ def groups(links: DataFrame, src: str = "src", dst: str = "dst", chunk_edges: in
         grid = grid_size(many, cores, chunk_edges)
         stars, _ = write_table(_round(edges, grid, chunk_edges, len(parents)), "stars")
         parents.append(stars.select("v", "least").distinct())  # one row a vertex: all its rows name the same least
+        if grid == 1 and many <= min(chunk_edges, CHUNK_EDGES):  # one chunk in one cell: all of it is united
+            break
         left, left_path = write_table(_contracted(stars), "edges")
         drop_table(spark, path)
         edges, path, many = left, left_path, left.count()

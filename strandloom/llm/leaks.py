@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import chunks
-from strandloom.session import drop_at_end, names_in, scratch_path, write_table
+from strandloom.session import drop_at_end, files_at, scratch_path, write_table
 
 #: Words in a row that make a leak.
 RUN = 13
@@ -21,8 +21,8 @@ BLOCK, SUFFIX = 2, 4
 CHUNK_ROWS = 1 << 12
 #: Window ends that one lane of the search steps over; a long text takes many lanes.
 LANE = 512
-#: Bytes of item text in one part of the index: a task holds one part at a time, some seven times as large.
-INDEX_BYTES = 16 << 20
+#: Bytes of item text in one part of the index: a task holds one part at a time, some six times as large.
+INDEX_BYTES = 8 << 20
 #: Words of an item that stay together, with those of a run in common between two pieces.
 PIECE = 1 << 14
 #: Bytes of corpus words that a task searches for all parts in turn.
@@ -59,7 +59,7 @@ class Words:
         self.start = np.concatenate([np.zeros(1, np.int32), self.end[:-1] + 1])[: len(self.end)].astype(np.int32)
         size = np.fromiter(map(len, lowered), np.int64, len(lowered))
         self.offsets = np.concatenate([[0], np.cumsum(after)[np.cumsum(size) - 1]]) if len(texts) else np.zeros(1, np.int64)
-        cut = np.flatnonzero(np.diff(self.start // STORED, prepend=-1)) if len(self.start) else []
+        cut = np.flatnonzero(np.diff(self.start >> 20, prepend=-1)) if len(self.start) else []
         some = [self._hashes(a, b) for a, b in zip(cut, [*cut[1:], len(self.start)])]
         self.token = np.concatenate([np.zeros(0, np.uint64), *some])
 
@@ -111,7 +111,7 @@ class Index:
     """Shift table and suffix buckets of all runs of ``run`` words of the items. Its size goes with
     the number of words: a token, two ends, a run, a bucket key and a few bytes of the table each."""
 
-    ARRAYS = (("norm", np.uint8), ("start", np.int32), ("end", np.int32), ("token", np.uint64), ("shift", np.uint8), ("runs", np.int32), ("keys", np.uint32), ("begin", np.int32), ("items", np.int64))
+    ARRAYS = (("norm", np.uint8), ("start", np.int32), ("end", np.int32), ("token", np.uint64), ("shift", np.uint8), ("runs", np.int32), ("keys", np.uint32), ("sets", np.int32), ("begin", np.int32), ("members", np.int32), ("ids", np.int64))
 
     def __init__(self, run: int, arrays: dict[str, np.ndarray]):
         self.run, self.block, self.suffix = run, min(BLOCK, run), min(SUFFIX, run)
@@ -136,16 +136,22 @@ class Index:
         rep = at[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(at) else at
         equal = _same_bytes(w.norm, w.start[at], w.end[at + run - 1], w.norm, w.start[rep], w.end[rep + run - 1])
         rep = np.where(equal, rep, at)  # runs of one hash that differ stand for themselves
-        item = np.asarray(items, np.int64)[text[at]]
-        order = np.lexsort((item, rep))
-        rep, item = rep[order], item[order]
-        once = np.concatenate([[True], (rep[1:] != rep[:-1]) | (item[1:] != item[:-1])]) if len(rep) else np.zeros(0, bool)
-        runs, count = np.unique(rep[once], return_counts=True)
+        ids, number = np.unique(np.asarray(items, np.int64), return_inverse=True)
+        item = number[text[at]]
+        both = np.unique(rep.astype(np.int64) << 32 | item)
+        rep, item = both >> 32, (both & 0xFFFFFFFF).astype(np.int32)
+        runs, count = np.unique(rep, return_counts=True)
         begin = np.cumsum(count) - count
+        # runs of the same items share one list of them
+        sums = np.add.reduceat(_mix(item.astype(np.uint64) + np.uint64(1)), begin) if len(runs) else np.zeros(0, np.uint64)
+        _, one, sets = np.unique(_mix(sums + count.astype(np.uint64)), return_index=True, return_inverse=True)
+        equal = _same_bytes(item, begin, begin + count, item, begin[one[sets]], (begin + count)[one[sets]])
+        odd = np.flatnonzero(~equal)  # of one hash with others, but not of one list
+        sets[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, odd]).astype(np.int64)
+        members, _ = _expand(begin[one], count[one])
         key = (_hash(w.token, runs + run - 1, suffix) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(key, kind="stable")
-        size = count[order]
-        places, _ = _expand(begin[order], size)
         # a block of words may stand at most so near the end of a run
         inner = np.flatnonzero((nth >= block - 1) & (n[text] >= run))
         h = _hash(w.token, inner, block)
@@ -154,7 +160,7 @@ class Index:
         np.minimum.at(shift, (h >> np.uint64(64 - bits)).astype(np.int64), (run - 1 - np.minimum(nth[inner], run - 1)).astype(np.uint8))
         return cls(run, dict(
             norm=w.norm, start=w.start, end=w.end, token=w.token, shift=shift, runs=runs[order].astype(np.int32), keys=key[order],
-            begin=np.concatenate([[0], np.cumsum(size)]).astype(np.int32), items=item[once][places],
+            sets=sets[order].astype(np.int32), begin=np.concatenate([[0], np.cumsum(count[one])]).astype(np.int32), members=item[members], ids=ids,
         ))
 
     def ends(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -192,15 +198,16 @@ class Index:
             last = self.run - 1
             ok = _same_bytes(w.norm, w.start[pos], w.end[pos + last], self.norm, self.start[at], self.end[at + last])
             text = np.searchsorted(w.offsets, pos[ok], side="right") - 1
-            met.append(np.unique(text << 32 | nth[ok]))
+            met.append(np.unique(text << 32 | self.sets[nth[ok]]))
         both = np.unique(np.concatenate(met))
         text, nth = both >> 32, both & 0xFFFFFFFF
         size = (self.begin[nth + 1] - self.begin[nth]).astype(np.int64)
-        pairs = np.zeros((0, 2), np.int64)
+        pairs = [np.zeros(0, np.int64)]
         for s in _slices(size):
             at, row = _expand(self.begin[nth[s]].astype(np.int64), size[s])
-            pairs = np.unique(np.concatenate([pairs, np.stack([text[s][row], self.items[at]], 1)]), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+            pairs.append(np.unique(text[s][row] << 32 | self.members[at]))
+        both = np.unique(np.concatenate(pairs))
+        return both >> 32, self.ids[both & 0xFFFFFFFF]
 
 
 def _pieces(run: int, piece: int):
@@ -290,10 +297,10 @@ def leaks(
     path = scratch_path(spark, "index")
     parts.repartition(-(-total // index_bytes) or 1, "item", "piece").mapInArrow(_build(run), "name string, data binary").write.option("compression", "lz4").parquet(path)
     drop_at_end(spark, path)
-    files = [f for f in names_in(spark, path) if f.endswith(".parquet")] if total else []
+    files = [f for f, _ in files_at(spark, path) if f.endswith(".parquet")] if total else []
     if not files:
         return t.select(F.col("doc").alias(doc), F.col("doc").alias(item)).limit(0)
     for f in files:
-        spark.sparkContext.addFile(f"{path}/{f}")
-    found = t.mapInArrow(_scan(files, run, held_bytes), "doc long, item long")
+        spark.sparkContext.addFile(f)
+    found = t.mapInArrow(_scan([f.rsplit("/", 1)[1] for f in files], run, held_bytes), "doc long, item long")
     return found.distinct().select(F.col("doc").alias(doc), F.col("item").alias(item))

@@ -21,6 +21,8 @@ SHINGLE = 10
 #: 0.475, so a pair is missed with probability 0.525 ** 24 < 2e-7, above it less.
 SEGMENTS, VALUES = 24, 4
 CHUNK_ROWS = 1 << 12
+#: Shingles whose hashes are made at once.
+CELLS = 1 << 18
 #: Texts of a variant that are paired within a task; of more so many meet in one block.
 GROUP, BLOCK = 1 << 7, 1 << 10
 #: Rows that a task pairs at once.
@@ -34,8 +36,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _shingles(t: pa.Table, names: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle) of the contents, ordered by row, as two vectors."""
-    rows, found = [], []
+    """(row, shingle) of all places of the contents, as two vectors."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for name in names:
         data, offsets = flat(t[name])
         if len(data) < size:
@@ -47,34 +49,53 @@ def _shingles(t: pa.Table, names: list[str], size: int) -> tuple[np.ndarray, np.
             code = code * 26 + (data[at + j] - 65)
         rows.append(row[at])
         found.append(code)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, code = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((code, row))
-    row, code = row[order], code[order]
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _ordered(row: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """In the order of row, then shingle; as one number, where both fit into it."""
+    bits = (26**size).bit_length()
+    if bits + CHUNK_ROWS.bit_length() > 63:
+        order = np.lexsort((code, row))
+        return row[order], code[order]
+    both = np.sort(row << bits | code)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _distinct(row: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    row, code = _ordered(row, code, size)
     keep = np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, bool)
     return row[keep], code[keep]
 
 
 def _signatures(size: int, segments: int, values: int):
-    odd = _mix(np.arange(1, segments * values + 1, dtype=np.uint64)) | np.uint64(1)
-    add = _mix(np.arange(10_001, 10_001 + segments * values, dtype=np.uint64))
+    odd = _mix(np.arange(1, segments * values + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    add = _mix(np.arange(10_001, 10_001 + segments * values, dtype=np.uint64)).astype(np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK_ROWS):
             n = t.num_rows
             row, code = _shingles(t, ["a", "b"], size)
+            code = code[np.argsort(row, kind="stable")]  # one that repeats does not change a minimum
             count = np.bincount(row, minlength=n)
             full = np.flatnonzero(count)
-            least = np.zeros((segments * values, n), np.uint64)
+            least = np.zeros((segments * values, len(full)), np.uint32)
             if len(full):
                 at = np.concatenate([[0], np.cumsum(count[full])])[:-1]
-                base = _mix(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-                for i in range(segments * values):
-                    least[i, full] = np.minimum.reduceat(base * odd[i] + add[i], at)
+                base = (_mix(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+                held = count[full]
+                # texts of like numbers of shingles side by side, short ones padded with their last
+                bucket = np.ceil(2 * np.log2(held)).astype(int)
+                for b in np.unique(bucket):
+                    same = np.flatnonzero(bucket == b)
+                    width = int(held[same].max())
+                    for part in np.array_split(same, max(1, -(-len(same) * width // CELLS))):
+                        x = base[at[part] + np.minimum(np.arange(width)[:, None], held[part] - 1)]
+                        for i in range(segments * values):
+                            least[i, part] = (x * odd[i] + add[i]).min(0)
             rep = t["rep"].to_numpy()[full]
             for s in range(segments):
-                part = least[s * values : (s + 1) * values, full]
+                part = least[s * values : (s + 1) * values]
                 for gone in range(values):  # the variant in which one value may be anything
                     h = np.full(len(full), np.uint64(s * values + gone + 1))
                     for j in range(values):
@@ -89,10 +110,8 @@ def _verify(size: int, over: int, under: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, CHUNK_ROWS):
             n = t.num_rows
-            (ra, ca), (rb, cb) = _shingles(t, ["a_a", "a_b"], size), _shingles(t, ["b_a", "b_b"], size)
-            row, code = np.concatenate([ra, rb]), np.concatenate([ca, cb])
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
+            (ra, ca), (rb, cb) = (_distinct(*_shingles(t, [f"{s}_a", f"{s}_b"], size), size) for s in "ab")
+            row, code = _ordered(np.concatenate([ra, rb]), np.concatenate([ca, cb]), size)
             same = (row[1:] == row[:-1]) & (code[1:] == code[:-1])
             shared = np.bincount(row[1:][same], minlength=n)
             union = np.bincount(row, minlength=n) - shared

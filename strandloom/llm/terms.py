@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.vectors import chunks, codes, flat, windows
@@ -162,10 +162,11 @@ class TermCounts:
         """Sums of ``df`` as a batch of the table that ``state`` names, or of a new one."""
         batch = uuid.uuid4().hex
         state["table"] = state["table"] or f"c{batch}"
-        dealt = _summed(df.repartition(self.buckets, "term")).withColumn("batch", F.lit(batch))
+        seen = Observation()
+        dealt = _summed(df.repartition(self.buckets, "term")).observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(batch))
         w = dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "term").option("path", f"{self.path}/{state['table']}")
         w.saveAsTable(self._table(state["table"]))
-        state["counts"][batch] = self._batches(state["table"], [batch]).count()
+        state["counts"][batch] = seen.get["rows"]
 
     def _batches(self, table: str, batches: Iterable[str]) -> DataFrame:
         return self.spark.table(self._table(table)).where(F.col("batch").isin(list(batches)))
@@ -274,6 +275,11 @@ class TermCounts:
             state["log"] = {name: self._read_log([name]).count()}
         self._commit(state)
 
+    def close(self) -> None:
+        """Takes the store's table out of the session's catalog; the files stay."""
+        if self.state["table"]:
+            self.spark.sql(f"drop table if exists {self._table(self.state['table'])}")
+
     # results
 
     def counts(self) -> DataFrame:

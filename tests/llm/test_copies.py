@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.dictionary import collapse, copies
 from strandloom.llm.similar import _met, bare_classes, classes, linked_classes, near_duplicates, similar_classes
+from strandloom.operators import skew
 
 SCHEMA = "read_no long, seq_f string, seq_r string"
 
@@ -135,8 +136,9 @@ def test_variants_of_many_texts(spark, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_one_content_in_thousands_of_writings(spark, rows):
+def test_one_content_in_thousands_of_writings(spark, rows, monkeypatch):
     """The content is a hot key of the dictionary; its writings are all different."""
+    monkeypatch.setattr(skew, "LEAST_ROWS", 1)
     rng = random.Random(4)
     write = lambda s, i: "".join(c.lower() if i >> j & 1 else c for j, c in enumerate(s)) + f" {i}"
     f, r = some(rng, 14), some(rng, 20)

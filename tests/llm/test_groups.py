@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import groups as module
 from strandloom.llm.groups import _contracted, _round, grid_size, groups, priority, union_find
+from strandloom.operators import skew
 from strandloom.session import write_table
 
 SCHEMA = "src string, dst string"
@@ -88,6 +89,7 @@ def test_the_grid_is_bounded():
 
 def test_a_small_grid_with_many_chunks_a_cell(spark, monkeypatch):
     monkeypatch.setattr(module, "grid_size", lambda *a: 2)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 1)
     rng = random.Random(6)
     links = [(f"n{rng.randrange(700)}", f"n{rng.randrange(700)}") for _ in range(400)] + [("hub", f"n{i}") for i in range(0, 300, 7)] + [(f"c{i}", f"c{i + 1}") for i in range(150)]
     assert run(spark, links, chunk_edges=16) == model(links)

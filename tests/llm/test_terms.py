@@ -67,7 +67,7 @@ def test_an_id_of_many_rows(spark):
 
 def test_a_store_is_opened_again_by_its_path(spark):
     path = scratch_path(spark, "store")
-    TermCounts(spark, k=3, buckets=5, path=path).apply(frame(spark, A))
+    TermCounts(spark, k=3, buckets=5, path=path).apply(frame(spark, A)).close()
     again = TermCounts(spark, k=3, path=path)
     assert again.buckets == 5 and got(again) == model(A, 3)
     again.apply_snapshot(frame(spark, B))
