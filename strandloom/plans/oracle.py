@@ -391,6 +391,9 @@ def oracle_sql() -> dict[str, str]:
         "compressible": f"with {_DEGREES} select id from g where f = 1 and r = 1",
         "node_colors": f"""with {_DEGREES}
             select id, case f when 0 then 'W' when 1 then 'G' else 'B' end as fcolor, case when f > 0 then case r when 0 then 'W' when 1 then 'G' else 'B' end end as rcolor from g""",
+        "scalar_fields": f"""with {_DEGREES}
+            select id, id || '_t' as mertag, case when f > r then 'f' when r > f then 'r' end as merge_dir, case when f > 1 then id end as replacement,
+                case when cov is not null then printf('%.2f', cov) end as coverage from g""",
         "custom_fields": f"with {_DEGREES} select id, r <= 1 as has_q, case when r <= 1 then f || ',' || r end as q, 'new' || f as z from g",
         "edge_lists": f"""with {_EDGES}, lists as (select src as id, edge_type as code, string_agg(dst || '!' || overlap, ',' order by dst || '!' || overlap) as l from e group by 1, 2)
             select id, code, l as list from lists where code not in ('ff', 'rr', 'fe') union all select id, 'fe', l from lists where code = 'ef'

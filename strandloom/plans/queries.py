@@ -554,6 +554,17 @@ def node_colors(spark: SparkSession, at: str) -> DataFrame:
     return n.select("id", fields.first("m", "0").alias("fcolor"), fields.first("m", "1").alias("rcolor"))
 
 
+@query
+def scalar_fields(spark: SparkSession, at: str) -> DataFrame:
+    """Fields of one value: tag, direction to merge, replacement, coverage; set, set anew and read."""
+    n = _with_degrees(spark, at)
+    m = fields.put_one(fields.put_one(F.lit(None).cast(fields.EMPTY), "t", F.lit("first")), "t", F.concat("id", F.lit("_t")))
+    m = fields.put_one(m, "m", F.when(F.col("f") > F.col("r"), "f").when(F.col("r") > F.col("f"), "r"))
+    m = fields.put_one(fields.put_one(m, "r", F.when(F.col("f") > 1, F.col("id"))), "v", dna.two_places("cov"))
+    n = n.withColumn("m", m)
+    return n.select("id", *(fields.first("m", c).alias(name) for c, name in (("t", "mertag"), ("m", "merge_dir"), ("r", "replacement"), ("v", "coverage"))))
+
+
 @query
 def custom_fields(spark: SparkSession, at: str) -> DataFrame:
     """Fields of a name of one's own: set, added to, set anew, read and taken away."""
