@@ -77,9 +77,10 @@ def _each(k: int):
     return run
 
 
-def deltas(signed: DataFrame, fields: list[str], k: int) -> DataFrame:
+def deltas(signed: DataFrame, fields: list[str], k: int) -> tuple[DataFrame, str]:
     """Changes ``(term, n_total, n_records)`` that signed rows ``(id, *fields, sign)`` make to
-    the counts; rows of one id and sign are one record, the set of their texts by field.
+    the counts, and the folder of the records that they are read from; rows of one id and sign are
+    one record, the set of their texts by field.
 
     Records of one content are combined a chunk at a time before the shuffle. Those of
     several go text by text, and count a term once through their id: however many
@@ -87,12 +88,16 @@ def deltas(signed: DataFrame, fields: list[str], k: int) -> DataFrame:
     """
     content = F.struct(*fields)
     heads = signed.groupBy("id", "sign").agg(F.min(content).alias("lo"), F.max(content).alias("hi"))
-    one = heads.where("lo <=> hi").select("lo.*", "sign").mapInArrow(_deltas(k), COUNTS)
-    several = signed.join(heads.where("not (lo <=> hi)").select("id", "sign"), ["id", "sign"], "left_semi")
-    texts = several.select("id", "sign", F.posexplode(F.array(*fields)).alias("field", "text")).where("text is not null").distinct()
+    heads, path = write_table(heads.select("id", "sign", "lo.*", (~F.col("lo").eqNullSafe(F.col("hi"))).alias("several")), "heads")
+    one = heads.where("not several").select(*fields, "sign").mapInArrow(_deltas(k), COUNTS)
+    several = heads.where("several").select("id", "sign")
+    if several.isEmpty():
+        return one, path
+    rows = signed.join(several, ["id", "sign"], "left_semi")
+    texts = rows.select("id", "sign", F.posexplode(F.array(*fields)).alias("field", "text")).where("text is not null").distinct()
     each = texts.select("id", "sign", "text").mapInArrow(_each(k), "id string, sign int, term long, n long")
     held = each.groupBy("id", "sign", "term").agg(F.sum("n").alias("n"))
-    return one.unionByName(held.select("term", (F.col("n") * F.col("sign")).alias("n_total"), F.col("sign").cast("long").alias("n_records")))
+    return one.unionByName(held.select("term", (F.col("n") * F.col("sign")).alias("n_total"), F.col("sign").cast("long").alias("n_records"))), path
 
 
 def _summed(t: DataFrame) -> DataFrame:
@@ -226,10 +231,10 @@ class TermCounts:
             before, scratch = write_table(before, "before")
             state["records"] -= before.select("id").distinct().count()
             signed = signed.unionByName(before.select("id", *fields, F.lit(-1).alias("sign")))
-        self._write_counts(state, deltas(signed, fields, self.k))
+        changes, heads = deltas(signed, fields, self.k)
+        self._write_counts(state, changes)
         state["log"][log] = new.count()
-        if scratch:
-            drop_table(self.spark, scratch)
+        drop_table(self.spark, heads, *([scratch] if scratch else []))
         self._commit(state)
         self._compact()
         return self
@@ -268,7 +273,7 @@ class TermCounts:
         state["version"] += 1
         if over["counts"]:
             state["table"], state["counts"] = "", {}
-            self._write_counts(state, self._batches(self.state["table"], self.state["counts"]))
+            self._write_counts(state, self._sums())
         if over["log"]:
             name = f"r{uuid.uuid4().hex}"
             self._latest(self._log()).withColumns({"gone": F.lit(False), "version": F.lit(state["version"])}).write.parquet(f"{self.path}/{name}")
@@ -282,14 +287,25 @@ class TermCounts:
 
     # results
 
+    def _sums(self) -> DataFrame:
+        """``(term, n_total, n_records)`` of base and deltas: the deltas are summed and merged into the base,
+        bucket by bucket."""
+        if not self.state["counts"]:
+            return self.spark.createDataFrame([], COUNTS)
+        base, *more = self.state["counts"]
+        held = self._batches(self.state["table"], [base]).drop("batch")
+        if not more:
+            return held
+        change = _summed(self._batches(self.state["table"], more)).select("term", F.col("n_total").alias("_t"), F.col("n_records").alias("_r"))
+        none = F.lit(0).cast("long")
+        both = held.join(change.hint("merge"), "term", "full").select(
+            "term", *((F.coalesce(c, none) + F.coalesce(d, none)).alias(c) for c, d in (("n_total", "_t"), ("n_records", "_r")))
+        )
+        return both.where("n_total != 0 or n_records != 0")
+
     def counts(self) -> DataFrame:
         """``(term, n_total, n_records, mark)`` with the term coded."""
-        if not self.state["counts"]:
-            t = self.spark.createDataFrame([], COUNTS)
-        else:
-            t = self._batches(self.state["table"], self.state["counts"]).drop("batch")
-        if len(self.state["counts"]) > 1:
-            t = _summed(t)
+        t = self._sums()
         n = self.state["records"]
         mark = F.when(F.col("n_records") * 100 >= n, "common").when(F.col("n_records") < 4, "rare").otherwise("useful")
         return t.withColumn("mark", mark)
