@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE = ["src", "edge_type", "dst", "overlap"]
+#: Links that one list holds, about; a longer one comes in parts.
+LIST = 1 << 18
 
 
 def has_edge(edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,9 +57,20 @@ def replace_link(edges: DataFrame, change: DataFrame, by_overlap: bool = False)
     return edges.select(*EDGE).join(old, keys, "left_anti").select(*EDGE).unionByName(new)
 
 
-def contained_reads(edges: DataFrame) -> DataFrame:
-    """``(id, contained)``: the sorted neighbours over edges of negative overlap; nodes without one have no row."""
-    return edges.where("overlap < 0").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("contained"))
+def _in_parts(items: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``items`` with ``part``: groups of more than ``most`` rows are dealt over as many parts as
+    they have times ``most`` rows, by the other columns; all others are part 0."""
+    large = items.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1")
+    rest = [c for c in items.columns if c not in keys]
+    part = F.pmod(F.xxhash64(*rest), F.coalesce("_parts", F.lit(1))).cast("int")
+    return items.join(large, keys, "left").select(*items.columns, part.alias("part"))
+
+
+def contained_reads(edges: DataFrame, most: int = LIST) -> DataFrame:
+    """``(id, contained)``: the sorted neighbours over edges of negative overlap; nodes without one have no
+    row, one of more than ``most`` has several."""
+    inside = _in_parts(edges.where("overlap < 0").select(F.col("src").alias("id"), "dst", "edge_type", "overlap"), ["id"], most)
+    return inside.groupBy("id", "part").agg(F.sort_array(F.collect_list("dst")).alias("contained")).drop("part")
 
 
 def black_degree(black: DataFrame) -> DataFrame:
@@ -114,9 +127,11 @@ def count_pair_ends(a: DataFrame, b: DataFrame, group: str = "id", name: str = "
     return met.groupBy(group).agg(F.count("_hit").alias("pair_ends"))
 
 
-def merged_lists(edges: DataFrame) -> DataFrame:
-    """``(src, edge_type, links)``: the links of each node and type as sorted texts
-    ``dst!overlap``, for node lines; a list is as long as the node has links."""
+def merged_lists(edges: DataFrame, most: int = LIST) -> DataFrame:
+    """``(src, edge_type, part, links)``: the links of each node and type as sorted texts
+    ``dst!overlap``, for node lines. A list of more than ``most`` links comes in parts, each in a row
+    of its own, so a hub is never gathered as a whole; all others are part 0."""
     from strandloom.functions.dna import edge_text
 
-    return edges.groupBy("src", "edge_type").agg(F.sort_array(F.collect_list(edge_text("dst", "overlap"))).alias("links"))
+    dealt = _in_parts(edges.select(*EDGE), ["src", "edge_type"], most)
+    return dealt.groupBy("src", "edge_type", "part").agg(F.sort_array(F.collect_list(edge_text("dst", "overlap"))).alias("links"))

@@ -440,7 +440,7 @@ def clear_black_r(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def merged_lists(spark: SparkSession, at: str) -> DataFrame:
-    return edges.merged_lists(read(spark, at, "edges").where("src is not null and dst is not null"))
+    return edges.merged_lists(read(spark, at, "edges").where("src is not null and dst is not null")).drop("part")
 
 
 @query
@@ -462,15 +462,19 @@ def is_gray(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _edge_maps(spark, at) -> DataFrame:
+    """``(id, part, edges)``: the lists of each node by type."""
     lists = edges.merged_lists(_edges(spark, at)).withColumnRenamed("src", "id")
-    return lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "links"))).alias("edges"))
+    return lists.groupBy("id", "part").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "links"))).alias("edges"))
 
 
 @query
 def node_message(spark: SparkSession, at: str) -> DataFrame:
-    """Lines of all ids of nodes, with any reads or none: one for each content of an id."""
+    """Lines of all ids of nodes, with any reads or none: one for each content of an id. Of a hub whose lists
+    come in parts the first line has the reads and the coverage, the others go on with its lists."""
     n = read(spark, at, "nodes").where("id is not null").groupBy("id", F.col("read_f").alias("seq_f"), F.col("read_r").alias("seq_r")).agg(F.min("cov").alias("cov"))
-    return nodemsg.node_lines(n.join(_edge_maps(spark, at), "id", "left"))
+    first = F.coalesce("part", F.lit(0)) == 0
+    n = n.join(_edge_maps(spark, at), "id", "left").withColumns({c: F.when(first, F.col(c)) for c in ("seq_f", "seq_r", "cov")})
+    return nodemsg.node_lines(n.drop("part"))
 
 
 @query

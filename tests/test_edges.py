@@ -170,3 +170,13 @@ def test_hubs_are_cut_in_parts(spark, rows):
     want = "".join(next((b for b in "ATCG" if all(x[b] > x[o] for o in "ATCG" if o != b)), "N") for x in sums)
     got = dict(cons(spark, rows, c.consensus_plurality, items, (1, 1)))
     assert got == {"hub": want, "one": "AC", "two": "AC"}
+
+
+def test_long_lists_come_in_parts(spark, rows):
+    src = [("hub", "ff", f"n{i:03}", i % 40 - 20) for i in range(300)] + [("a", "ff", "b", -1), ("a", "rr", "b", 5)]
+    lists = e.merged_lists(spark.createDataFrame(src, SCHEMA), 20)
+    hub = [r["links"] for r in lists.where("src = 'hub'").collect()]
+    assert len(hub) > 10 and max(map(len, hub)) < 60 and sorted(x for p in hub for x in p) == sorted(f"{d}!{n}" for s, _, d, n in src if s == "hub")
+    assert rows(lists.where("src = 'a'")) == [("a", "ff", 0, ["b!-1"]), ("a", "rr", 0, ["b!5"])]
+    inside = rows(e.contained_reads(spark.createDataFrame(src, SCHEMA), 20))
+    assert sorted(x for i, c in inside if i == "hub" for x in c) == sorted(d for s, _, d, n in src if s == "hub" and n < 0) and ("a", ["b"]) in inside
